@@ -3,6 +3,7 @@
 from importlib import import_module
 
 MODULES = (
+    "substring_dedup",
     "quality_rules",
     "piece_codec",
 )
