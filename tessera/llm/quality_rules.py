@@ -209,9 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     some = docs.select(key.alias("\u0001id"), F.col(f"`{text_col}`").alias("text"))
     some = some.join(F.broadcast(label), "\u0001id")  # sample_rows rows at most
     fold = F.pmod(F.xxhash64("\u0001id", F.lit(7)), F.lit(3)).cast("int").alias("fold")
-    columns = [(F.col("\u0001label") == 0).alias("bad"), fold, base_failed().alias("failed"), *[v.alias(k) for k, v in features().items()]]
+    named = features()
+    columns = [(F.col("\u0001label") == 0).alias("bad"), fold, base_failed().alias("failed"), *[v.alias(k) for k, v in named.items()]]
     got = statistics(some).select("\u0001id", *columns).collect()
-    rows = {r["\u0001id"]: {k: r[k] for k in ("bad", "fold", *features())} for r in sorted(got) if not r["failed"]}
+    rows = {r["\u0001id"]: {k: r[k] for k in ("bad", "fold", *named)} for r in sorted(got) if not r["failed"]}
     return learn(list(rows.values()))
 
 
