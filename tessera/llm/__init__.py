@@ -5,7 +5,9 @@ from importlib import import_module
 MODULES = (
     "substring_dedup",
     "quality_rules",
+    "license_scan",
     "piece_codec",
+    "url_filter",
 )
 
 

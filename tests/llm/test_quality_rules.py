@@ -3,7 +3,7 @@ from collections import Counter
 
 from tessera.llm import quality_rules as Q
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def brute(text):
