@@ -5,6 +5,7 @@ from importlib import import_module
 MODULES = (
     "substring_dedup",
     "quality_rules",
+    "mixing",
     "license_scan",
     "piece_codec",
     "url_filter",

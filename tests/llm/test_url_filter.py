@@ -77,7 +77,7 @@ def test_equals_brute_force_with_links(spark):
         (6, "http://fine.com#f", None),
         (7, "http://example.com/de/x", link("fine.com")),
         (8, "x.org/fr/", link("fine.com")),
-        (9, "http://x.org/fr/1", link("spam.com")),
+        (9, "http://x.org/fr/1", link("fine.com")),
         (10, None, link("fine.com")),
         (None, "http://notnet/", ""),
         (11, "http://net", ""),
