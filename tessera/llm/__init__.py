@@ -6,6 +6,7 @@ MODULES = (
     "substring_dedup",
     "quality_rules",
     "mixing",
+    "brown_lm",
     "license_scan",
     "piece_codec",
     "url_filter",
