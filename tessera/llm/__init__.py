@@ -4,6 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "substring_dedup",
+    "jaccard_join",
     "quality_rules",
     "mixing",
     "brown_lm",
