@@ -7,6 +7,7 @@ MODULES = (
     "jaccard_join",
     "quality_rules",
     "mixing",
+    "ann",
     "brown_lm",
     "license_scan",
     "piece_codec",
