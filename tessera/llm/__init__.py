@@ -5,6 +5,7 @@ from importlib import import_module
 MODULES = (
     "substring_dedup",
     "jaccard_join",
+    "toxicity",
     "quality_rules",
     "mixing",
     "ann",
