@@ -185,10 +185,11 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, gram: int) -> DataFr
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(id_col, node, class_id, n_links): one row for each of docs'.
+    """(id_col, tie, node, group, class_id, n_links): one row for each of docs'.
 
-    node: the document's word sequence, as a hash. class_id: smallest id of the documents that links connect. n_links:
-    other documents of at least the threshold's similarity, copies included.
+    tie: xxhash64 of the text. node: the document's word sequence, as a hash. group: the smallest node of the documents
+    that links connect; class_id: their smallest id. n_links: other documents of at least the threshold's similarity,
+    copies included.
     """
     spark = docs.sparkSession
     bins = BINS * shards_of(spark)
@@ -267,11 +268,13 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gra
     info = info.select("node", F.coalesce("label", "node").alias("label"), "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     info = cut(info, "jaccard-info")
     named = info.groupBy("label").agg(F.min("id").alias("class_id"))
-    info = cut(info.join(named, "label").select("node", "class_id", "n_links"), "jaccard-info")
-    out = signed.select("id", "node").join(info, "node", "left")
+    info = cut(info.join(named, "label").select("node", F.col("label").alias("group"), "class_id", "n_links"), "jaccard-info")
+    out = signed.select("id", "tie", "node").join(info, "node", "left")
     return out.select(
         F.col("id").alias(id_col),
+        "tie",
         "node",
+        "group",
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )

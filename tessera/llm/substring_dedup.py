@@ -209,11 +209,11 @@ def _removed(block: Block, seg: Segments, answers: dict[int, bytes]) -> np.ndarr
     return np.cumsum(gone[:n]) > 0
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, block_bytes: int = 4 << 20) -> DataFrame:
-    """(id_col, n_words, n_removed, kept_text, spans): one row for each of docs'.
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, block_bytes: int = 4 << 20, untouched: bool = False) -> DataFrame:
+    """(id_col, tie, n_words, n_removed, kept_text, spans): one row for each of docs'.
 
-    spans are the removed stretches, as word positions [first, last + 1); kept_text is the other words joined by
-    one space.
+    tie is the text's crc32. spans are the removed stretches, as word positions [first, last + 1); kept_text is the other
+    words joined by one space. With untouched, texts of which nothing is removed are returned as they are.
     """
     spark = docs.sparkSession
     shards = shards_of(spark)
@@ -275,13 +275,13 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
                 block = Block(payload.as_py())
                 seg = Segments(block, threshold, shards)
                 seg.choose(answers_of(got), shards)
-                yield from _results(block, seg, _removed(block, seg, answers_of(bits)))
+                yield from _results(block, seg, _removed(block, seg, answers_of(bits)), untouched)
 
-    out = both.mapInArrow(apply, "id long, n_words long, n_removed long, kept_text string, spans array<struct<first:int,end:int>>")
+    out = both.mapInArrow(apply, "id long, tie long, n_words long, n_removed long, kept_text string, spans array<struct<first:int,end:int>>")
     return out.withColumnRenamed("id", id_col)
 
 
-def _results(block: Block, seg: Segments, gone: np.ndarray, step: int = 1024):
+def _results(block: Block, seg: Segments, gone: np.ndarray, untouched: bool, step: int = 1024):
     keep = ~gone
     total = np.concatenate([[0], np.cumsum(gone)])
     for a in range(0, block.n, step):
@@ -290,7 +290,8 @@ def _results(block: Block, seg: Segments, gone: np.ndarray, step: int = 1024):
         lens = np.diff(seg.first[a : b + 1])
         removed = total[seg.first[a + 1 : b + 1]] - total[seg.first[a:b]]
         for i in range(a, b):
-            words = block.text(i).split()
+            text = block.text(i)
+            words = text.split()
             if removed[i - a]:
                 lo, hi = seg.first[i], seg.first[i + 1]
                 words = compress(words, keep[lo:hi].tolist())
@@ -299,13 +300,14 @@ def _results(block: Block, seg: Segments, gone: np.ndarray, step: int = 1024):
                 offsets.append(offsets[-1] + len(edge) // 2)
             else:
                 offsets.append(offsets[-1])
-            texts.append(b" ".join(words))
+            texts.append(text if untouched and not removed[i - a] else b" ".join(words))
         edges = np.concatenate(spans) if spans else np.zeros(0, np.int32)
         pairs = pa.StructArray.from_arrays([pa.array(edges[::2]), pa.array(edges[1::2])], names=["first", "end"])
         ids = pa.array(block.ids[a:b], pa.int64(), mask=block.null_id()[a:b])
+        tie = pa.array((block.tie[a:b] & np.uint64(0xFFFFFFFF)).astype(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(lens, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
-            names=["id", "n_words", "n_removed", "kept_text", "spans"],
+            [ids, tie, pa.array(lens, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)],
+            names=["id", "tie", "n_words", "n_removed", "kept_text", "spans"],
         )
 
 
