@@ -1 +1,5 @@
+"""Queries over the driver's tables."""
 
+from . import kernels, registry
+
+__all__ = ["kernels", "registry"]
