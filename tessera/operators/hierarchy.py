@@ -70,6 +70,9 @@ def flatten_extents(nodes: DataFrame, *, depth: int = 5) -> DataFrame:
         inner = level.filter("child is not null").select("file", F.col("child").alias("node"))
         level = inner.join(nodes, ["file", "node"])
         out = out.unionByName(level.filter("child is null").select("file", "logical", "blocks", "physical"))
-    deep = F.when(F.col("child").isNotNull(), F.raise_error(F.lit("extent tree is too deep"))).cast("long")
-    checks = level.select("file", F.col("logical"), F.col("blocks"), deep.alias("physical")).filter("physical is not null")
-    return out.unionByName(checks)
+    # an aggregate, which the error can't be moved below
+    deep = level.filter("child is not null").agg(F.count("*").alias("n"))
+    error = F.when(F.col("n") > 0, F.raise_error(F.lit("extent tree is too deep"))).cast("long")
+    none = F.lit(None).cast("long")
+    checks = deep.select(F.lit(None).cast("string").alias("file"), none.alias("logical"), none.alias("blocks"), error.alias("physical"))
+    return out.unionByName(checks.filter("physical is not null"))

@@ -1,5 +1,5 @@
 """Queries over the driver's tables."""
 
-from . import kernels, registry
+from . import catalogue, kernels, registry
 
-__all__ = ["kernels", "registry"]
+__all__ = ["catalogue", "kernels", "registry"]
