@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, cut_bucketed, load, shards_of
+from .common import cut, cut_bucketed, drop, load, shards_of
 
 NEIGHBOURS, ROUNDS, BEAM, EXPAND, ENTRIES, GROUP = 32, 8, 256, 32, 512, 64
 
@@ -161,6 +161,7 @@ def build(nodes: DataFrame, *, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed:
         found = members.groupBy("bin").applyInArrow(meet, _EDGE)
         new = cut(_best(edges.union(found), k), "ann-graph")
         changed = new.join(edges, ["node", "nbr"], "left_anti").count()
+        drop(edges)
         edges = new
         if changed <= done * k * n:
             break
@@ -258,11 +259,16 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, top: int =
     for _ in range(rounds):
         open_ = cut(state.select("query", "state").mapInArrow(frontier, "query long, node long"), "ann-frontier")
         if open_.isEmpty():
+            drop(open_)
             break
         got = open_.join(listed, "node").select("query", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("vector"), F.lit(None).cast("binary").alias("state"), "nbrs")
         kept = state.withColumn("nbrs", F.lit(None).cast("array<struct<nbr:bigint,half:binary>>"))
         both = kept.unionByName(got).withColumn("bin", F.pmod(F.xxhash64("query"), F.lit(bins)))
-        state = cut(both.groupBy("bin").applyInArrow(advance, schema), "ann-state")
+        new = cut(both.groupBy("bin").applyInArrow(advance, schema), "ann-state")
+        drop(open_, state)
+        state = new
+
+    drop(listed)
 
     def candidates(batches):
         for batch in batches:

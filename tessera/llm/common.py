@@ -38,9 +38,11 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -51,7 +53,9 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.cut_at = at
+    return out
 
 
 def cut_bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
@@ -60,7 +64,20 @@ def cut_bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     table = f"{name}_{uuid.uuid4().hex}"
     at = f"{shared_dir(spark)}/{table}"
     df.write.bucketBy(buckets, key).option("path", at).format("parquet").saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    out.cut_at, out.cut_table = at, table
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Deletes what cut() or cut_bucketed() wrote, once nothing reads it any more."""
+    for df in cuts:
+        spark = df.sparkSession
+        if table := vars(df).pop("cut_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if at := vars(df).pop("cut_at", None):
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shards_of(spark: SparkSession) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, load, mix, shards_of, span_hash, text_column, word_bounds, word_hashes
+from .common import cut, drop, load, mix, shards_of, span_hash, text_column, word_bounds, word_hashes
 
 GRAM, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 BANDS, ROWS, STEP = 28, 4, 16
@@ -117,23 +117,27 @@ def survivors(sig: np.ndarray, a: np.ndarray, b: np.ndarray, fewest: dict[int, i
 def connected(edges: DataFrame, name: str = "edges") -> DataFrame:
     """(node, label): nodes of edges (a, b) other than the smallest of each component, and that smallest.
 
-    Alternating large and small stars; each round is written to the shared folder.
+    Alternating large and small stars. What a round aggregates is written to the shared folder before it is joined, so
+    the joins are plain ones, which Spark can split at a node that many others hang on.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
+    before, used = None, []
     while True:
         e = cut(e, name)
+        drop(*used)
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == before or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            out.cut_at = e.cut_at
+            return out
         before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        rest = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = rest.union(least.select("u", F.col("m").alias("v"))).distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        lower = cut(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        rest = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        used = [e, least, large, lower]
+        e = rest.union(lower.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _tasks(rows: DataFrame, key: str, size: str, bins: int, block: int) -> DataFrame:
@@ -201,7 +205,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gra
     # bands that at least two classes have
     band = lambda k: F.xxhash64(F.lit(k), F.substring("sig", 1 + 2 * ROWS * k, 2 * ROWS))
     bands = classes.select("node", F.explode(F.array(*map(band, range(BANDS)))).alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-bands")
     met = _tasks(bands.join(shared, "key"), "key", "n", bins, BLOCK)
     met = met.join(classes.select("node", "sig"), "node").select("bin", "key", "i", "j", "side", "node", "sig")
     fewest = fewest_matches(threshold, tolerance)
@@ -222,9 +226,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gra
     edges = met.groupBy("bin").applyInArrow(compare, "a long, b long")
     found = connected(edges, "jaccard-candidates")
     group = found.union(found.select(F.col("label").alias("node"), "label").distinct())
-    group = cut(group, "jaccard-groups")
-    size = group.groupBy("label").agg(F.count("*").alias("n"))
-    group = group.join(size, "label").join(classes.select("node", "copies", "one.id", "one.tie"), "node")
+    group_of = cut(group, "jaccard-groups")
+    size = cut(group_of.groupBy("label").agg(F.count("*").alias("n")), "jaccard-sizes")  # a plain join, which can be split
+    group = group_of.join(size, "label").join(classes.select("node", "copies", "one.id", "one.tie"), "node")
 
     # texts of the groups' classes, one of each
     text = F.col(f"`{text_col}`").cast("string")
@@ -266,9 +270,10 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gra
     label = connected(verified.filter("b is not null").select("a", "b"), "jaccard-links")
     info = classes.select("node", "copies", "one.id").join(label, "node", "left").join(links, "node", "left")
     info = info.select("node", F.coalesce("label", "node").alias("label"), "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    info = cut(info, "jaccard-info")
-    named = info.groupBy("label").agg(F.min("id").alias("class_id"))
-    info = cut(info.join(named, "label").select("node", F.col("label").alias("group"), "class_id", "n_links"), "jaccard-info")
+    labelled = cut(info, "jaccard-info")
+    named = labelled.groupBy("label").agg(F.min("id").alias("class_id"))
+    info = cut(labelled.join(named, "label").select("node", F.col("label").alias("group"), "class_id", "n_links"), "jaccard-info")
+    drop(classes, shared, found, group_of, size, verified, label, labelled)
     out = signed.select("id", "tie", "node").join(info, "node", "left")
     return out.select(
         F.col("id").alias(id_col),
@@ -323,4 +328,13 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_jaccard_join": op2_jaccard_join}
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_jaccard_join": """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT d.doc_id, (SELECT min(other) FROM reach WHERE reach.doc_id = d.doc_id) AS class_id, (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links FROM documents d"""
+}
