@@ -87,13 +87,14 @@ def payload_apply(spark, sf_dir):
         old = _blocks(raw)
         n = len(old) // BLOCK
         turned = b"".join(old[i * BLOCK : (i + 1) * BLOCK] for i in reversed(range(n)))
-        coder = (lambda x: x, bz2.compress, lzma.compress)[int(key) % 3]
+        coder = (lambda x: x, bz2.compress, lambda x: lzma.compress(x, preset=0))[int(key) % 3]
         ops = [(4, b"", [(i, 1) for i in reversed(range(n))], [(0, n)]), ((0, 1, 8)[int(key) % 3], coder(old), [], [(n, n)]), (6, b"", [], [(2 * n, 2)])]
-        return {"payload": key, "content": payload.make([{"name": "p" + key, "old": old, "new": turned + old + bytes(2 * BLOCK), "ops": ops}]), "old": old}
+        return {"payload": key, "content": payload.make([{"name": "p" + key, "old": old, "new": turned + old + bytes(2 * BLOCK), "ops": ops}])}
 
-    files = _packed(texts, make, "payload string, content binary, old binary")
-    ops = payload.manifest(files)
-    old = files.select(F.concat(F.lit("p"), "payload").alias("partition"), F.posexplode(F.transform(F.sequence(F.lit(0), (F.octet_length("old") / BLOCK - 1).cast("int")), lambda i: F.substring("old", i * BLOCK + 1, F.lit(BLOCK)))).alias("block", "data"))
+    ops = payload.manifest(_packed(texts, make, "payload string, content binary")).cache()  # read by both sides of the gathering join
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / BLOCK)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(F.col("text").cast("binary"), i * BLOCK + 1, F.lit(BLOCK)))
+    old = texts.select(F.concat(F.lit("p"), "key").alias("partition"), F.posexplode(blocks).alias("block", "data"))
     new = payload.apply(ops, old)
     count = _sizes(texts).select(F.col("key").alias("payload"), "n", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).alias("b"))
     new = new.join(count, "payload")
