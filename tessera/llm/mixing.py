@@ -121,12 +121,12 @@ def mix(
     leaf = spark.createDataFrame(leaves, "of string, ends array<long>")
     shard = lambda k: F.size(F.filter("ends", lambda e: e <= k * F.col("n") + F.col("rank")))
     ranked = ranked.join(leaf, F.col(source).eqNullSafe(F.col("of"))).select(
-        F.col(source).alias("of"),
-        F.col(block).alias("at"),
+        F.col(source).alias("\u0001of"),
+        F.col(block).alias("\u0001at"),
         F.struct("words", "source_size", "target", "passes", "room", F.transform(F.sequence(F.lit(0), "passes"), shard).alias("shards")).alias("\u0001b"),
     )
 
-    out = sized.join(ranked, F.col(source).eqNullSafe(F.col("of")) & (F.col(block) == F.col("at"))).drop("of", "at")
+    out = sized.join(ranked, F.col(source).eqNullSafe(F.col("\u0001of")) & (F.col(block) == F.col("\u0001at"))).drop("\u0001of", "\u0001at")
     b = lambda name: F.col("\u0001b")[name]
     edge = (b("room") > 0) & (b("room") < b("words"))
     # of the block at the edge, documents in permuted order as long as their middle is within the rest

@@ -51,7 +51,7 @@ def check(rows, got):
 def test_mix_meets_targets(spark):
     rows = [(i, f"s{i % 5}" if i % 3 else "s0", "w " * (i * 7 % 40)) for i in range(600)]
     rows += [(None, None, "a b c")] * 3 + [(None, "s1", None), (1, "s1", "x " * 7), (1, "s1", "x " * 7), (700, "é", ""), (701, "long", "w " * 9000)]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, size int")
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, source string, text string, size int, at int, of string")
     got = M.mix(docs, shards=7, blocks=16).collect()
     check(rows, got)
     again = M.mix(docs.repartition(5), shards=7, blocks=16).collect()
