@@ -190,7 +190,7 @@ def test_block_commands():
 def extracted(spark, raw, paths):
     files = spark.createDataFrame([("img", bytearray(raw))], "path string, content binary")
     entries, extents = ext4.tables(files)
-    found = hierarchy.resolve(spark.createDataFrame([(p,) for p in paths], "path string"), entries.select("parent", "name", "node", "link"))
+    found = hierarchy.resolve(spark.createDataFrame([(p,) for p in paths], "path string"), entries.select("parent", "name", "node", "link"), links=6)
     sizes = entries.filter("link is null").select("node", "size").distinct()
     found = found.join(sizes, "node", "left").withColumn("image", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("img"))
     parts = found.join(extents.withColumnRenamed("size", "length"), ["image", "node"]).selectExpr("image", "path", "target", "source", "least(length, size - target) as size", "false as hole")
