@@ -191,9 +191,11 @@ def lz4_decode(spark, sf_dir):
         return {"path": key + ".lz4", "content": b"\x02\x21\x4c\x18" + b"".join(len(c).to_bytes(4, "little") + c for c in coded)}
 
     texts = _texts(spark, sf_dir)
-    chunks = images.chunk_table(_packed(texts, make, "path string, content binary")).filter("off = 0")
-    found = texts.select("key", F.concat("key", F.lit(".lz4")).alias("image"), F.octet_length("text").alias("n")).join(chunks, "image", "left")
-    return found.select(F.col("key").cast("long").alias("doc_id"), F.sha2(F.expr("substring(coalesce(data, X''), 1, n)"), 256).alias("sha256"))
+    chunks = images.chunk_table(_packed(texts, make, "path string, content binary"))
+    sizes = _sizes(texts).withColumn("image", F.concat("key", F.lit(".lz4")))
+    size = sizes.filter("n is not null").select("image", F.col("n").cast("long").alias("size"))
+    digests = images.assembled(chunks, ["image"], size).select("image", F.sha2("content", 256).alias("sha256"))  # joined without the contents
+    return sizes.join(digests, "image", "left").select(F.col("key").cast("long").alias("doc_id"), "sha256")
 
 
 @query("SELECT item_id, p AS path, sha256(CASE p WHEN 'etc/id.txt' THEN item_id::VARCHAR ELSE text END) AS sha256 FROM benchmark, (VALUES ('etc/id.txt'), ('text'), ('etc/link')) t(p)")

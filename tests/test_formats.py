@@ -18,6 +18,7 @@ import pytest
 from tessera.errors import FormatError
 from tessera.functions import crypto
 from tessera.operators import hierarchy, integrity
+from tessera.plans import kernels
 from tessera.sources import archives, ext4, images, patches, payload, transfers
 
 B = 4096
@@ -272,3 +273,11 @@ def test_crc32_combines(spark):
     a, b = noise(1000), noise(12_345, 2)
     df = spark.createDataFrame([(zlib.crc32(a), zlib.crc32(b), len(b))], "a long, b long, n long")
     assert df.select(integrity.crc32_combine(F.col("a"), F.col("b"), F.col("n"))).first()[0] == zlib.crc32(a + b)
+
+
+def test_lz4_query_hashes_whole_texts(spark, tmp_path):
+    texts = {1: "odd é " * 400_000, 2: "even\0 " * 400_000, 3: "", 4: "", 5: None, 6: None, 7: "short", 8: "short"}
+    assert len(texts[1].encode()) > 2 * images.CHUNK < len(texts[2])
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.sha256 for r in kernels.lz4_decode(spark, str(tmp_path)).collect()}
+    assert got == {k: None if t is None else hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}
