@@ -3,8 +3,8 @@ functions only.
 
 Links are absolute references in the pages' HTML; they give edges between hosts, with counts. Trust is personalised
 PageRank along the edges from the hosts of pages that a rule allows, distrust along the reversed edges from the hosts
-of pages that a rule blocks. A host whose distrust is above its trust by more than a threshold is blocked. Edges and
-ranks are aggregated by host before they are joined, so a host with a third of all pages is one row there; the last
+of pages that a rule blocks. Rounds go on until all that they could still bring, to all hosts together, is below a
+tolerance. A host whose distrust is above its trust by more than a threshold is blocked. Edges and ranks are aggregated by host before they are joined, so a host with a third of all pages is one row there; the last
 join, of pages with host verdicts, is a plain join that Spark can split where it is skewed.
 
 A null url, or one without `://`, has an empty host and path and no rule; the empty host takes no part in the graph and
@@ -22,6 +22,8 @@ from .common import cut, load
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+#: of a rank; below judge's threshold
+TOLERANCE = 1e-13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,20 +67,24 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, *, rounds: int = 12, damping: float = 0.85, cut_every: int = 4) -> DataFrame:
-    """(host, rank): personalised PageRank from seeds (host, weight), whose weights sum to one."""
+def page_rank(edges: DataFrame, seeds: DataFrame, *, tolerance: float = TOLERANCE, damping: float = 0.85, cut_every: int = 8) -> DataFrame:
+    """(host, rank): personalised PageRank from seeds (host, weight), whose weights sum to one; all ranks together are
+    less than tolerance below the limit."""
     start = seeds.select("host", (F.col("weight") * (1 - damping)).alias("part"))
-    rank = seeds.select("host", F.col("weight").alias("rank"))
-    for k in range(rounds):
-        moved = edges.join(rank.withColumnRenamed("host", "src"), "src")
-        moved = moved.select(F.col("dst").alias("host"), (damping * F.col("share") * F.col("rank")).alias("part"))
-        rank = moved.unionByName(start).groupBy("host").agg(F.sum("part").alias("rank"))
-        if k % cut_every == cut_every - 1:
-            rank = cut(rank, "rank")
-    return rank
-
-
-def host_verdicts(ruled: DataFrame, *, threshold: float = 0.0, rounds: int = 12, damping: float = 0.85, html_col: str = "html") -> DataFrame:
+    rank = start.select("host", F.col("part").alias("rank"), F.col("part").alias("last"))  # last: what the latest round brought
+    while True:
+        for _ in range(cut_every):
+            moved = edges.join(rank.withColumnRenamed("host", "src"), "src")
+            moved = moved.select(F.col("dst").alias("host"), *((damping * F.col("share") * F.col(c)).alias(c) for c in ("rank", "last")))
+            moved = moved.unionByName(start.select("host", F.col("part").alias("rank"), F.lit(0.0).alias("last")))
+            rank = moved.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("last").alias("last"))
+        rank = cut(rank, "rank")
+        # a round passes on damping of the last one's mass at most, so what is still to come is bounded
+        if (rank.agg(F.sum("last")).first()[0] or 0.0) * damping / (1 - damping) < tolerance:
+            return rank.drop("last")
+
+
+def host_verdicts(ruled: DataFrame, *, threshold: float = 0.0, tolerance: float = TOLERANCE, damping: float = 0.85, html_col: str = "html") -> DataFrame:
     """(host, trust, distrust, blocked) of the hosts that trust or distrust reaches. ruled: as from with_rules, with html."""
     hosts = ruled.filter((F.col("host") != "") & F.col("ruled").isNotNull()).groupBy("host", "ruled").agg(F.count("*").alias("n"))
     hosts = cut(hosts, "seeds")
@@ -92,8 +98,8 @@ def host_verdicts(ruled: DataFrame, *, threshold: float = 0.0, rounds: int = 12,
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share")
     total = back.groupBy("src").agg(F.sum("share").alias("all"))
     back = cut(back.join(total, "src").select("src", "dst", (F.col("share") / F.col("all")).alias("share")), "edges")
-    trust = page_rank(edges, seeds("allow"), rounds=rounds, damping=damping).withColumnRenamed("rank", "trust")
-    distrust = page_rank(back, seeds("block"), rounds=rounds, damping=damping).withColumnRenamed("rank", "distrust")
+    trust = page_rank(edges, seeds("allow"), tolerance=tolerance, damping=damping).withColumnRenamed("rank", "trust")
+    distrust = page_rank(back, seeds("block"), tolerance=tolerance, damping=damping).withColumnRenamed("rank", "distrust")
     both = trust.join(distrust, "host", "full").fillna(0.0, ["trust", "distrust"])
     return both.withColumn("blocked", F.col("distrust") - F.col("trust") > threshold)
 

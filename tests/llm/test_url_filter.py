@@ -97,3 +97,23 @@ def test_query_equals_brute_force(spark):
     rows = [(r.page_id, r.url, r.html) for r in load(spark, sf, "pages").collect()]
     same(U.judge(load(spark, sf, "pages")).collect(), brute(rows))
     assert U.op10_url_filter(spark, sf).columns == ["page_id", "host", "path", "rule", "verdict"]
+
+
+def test_ranks_along_long_chains_converge(spark):
+    # h0 links to h1 and so on to a blocked host; the chain of g from an allowed host goes as far and ends in a loop
+    link = lambda *hosts: " ".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+    rows = [(i, f"http://h{i}.com/", link(f"h{i + 1}.com" if i < 29 else "bad.net")) for i in range(30)]
+    rows += [(100, "http://bad.net/", ""), (101, "http://x.org/fr/", link("g0.com"))]
+    rows += [(200 + i, f"http://g{i}.com/", link(*([f"g{i + 1}.com"] if i < 29 else ["g28.com", "bad.net"]))) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in U.judge(pages).collect()}
+    trust, back = {(f"g{i}.com", f"g{i + 1}.com"): 1.0 for i in range(29)}, {("bad.net", "h29.com"): 2 / 3, ("bad.net", "g29.com"): 1 / 3}
+    trust |= {("x.org", "g0.com"): 1.0, ("g29.com", "g28.com"): 0.5, ("g29.com", "bad.net"): 0.5}
+    back |= {(f"h{i + 1}.com", f"h{i}.com"): 1.0 for i in range(29)} | {(f"g{i + 1}.com", f"g{i}.com"): 1.0 for i in range(28) if i != 27}
+    back |= {("g28.com", "g27.com"): 2 / 3, ("g28.com", "g29.com"): 1 / 3, ("g29.com", "g28.com"): 1.0, ("g0.com", "x.org"): 1.0}
+    trust, distrust = ranks(trust, {"x.org": 1.0}, 400), ranks(back, {"bad.net": 1.0}, 400)
+    for r in got.values():
+        assert (r.trust, r.distrust) == pytest.approx((trust.get(r.host, 0.0), distrust.get(r.host, 0.0)), abs=1e-12)
+        own = "block" if distrust.get(r.host, 0.0) - trust.get(r.host, 0.0) > 1e-12 else "allow"
+        assert r.rule or r.verdict == own
+    assert {got[i].verdict for i in range(30)} == {"block"} and {got[200 + i].verdict for i in range(30)} == {"allow", "block"}
