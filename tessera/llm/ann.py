@@ -6,8 +6,9 @@ of NN-descent is a join: every node's neighbours, and as many of those that have
 with their vectors, and each learns which of the others are nearer than its farthest neighbour. Rounds end when few
 neighbours change.
 
-A query starts from the nearest of a bounded sample of nodes (ENTRIES) and, in each round, expands its nearest nodes
-that aren't expanded yet: a join with the graph brings their neighbours. It keeps the BEAM nearest nodes and ends when
+A query starts from its own node, where its vector has one, and from the nearest of a sample of nodes (ENTRIES at least,
+and four times the root of their number). In each round it expands its nearest nodes that aren't expanded yet: a join
+with the graph brings their neighbours, and as many of those that have them as neighbours. It keeps the BEAM nearest nodes and ends when
 these are all expanded. The graph works on rounded vectors; the results are ranked by the cosine of the original
 vectors in double precision.
 
@@ -88,6 +89,13 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= k).drop("r")
 
 
+def _both_ways(edges: DataFrame, k: int) -> DataFrame:
+    """(node, nbr): edges, and the other way round about k of each node's, by hash, so that a hub's list stays bounded."""
+    indegree = edges.groupBy("nbr").agg(F.count("*").alias("n"))
+    back = edges.join(indegree, "nbr").filter(F.pmod(F.xxhash64("node", "nbr"), F.lit(1_000_000)) < 1_000_000 * k / F.col("n"))
+    return edges.select("node", "nbr").union(back.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
+
+
 def _near_in_groups(rows: pa.Table, key: str, k: int) -> pa.Table:
     """For each member of a group (column key; with node, half and the score to beat), its k nearest others there."""
     group = np.asarray(rows.column(key))
@@ -152,10 +160,7 @@ def build(nodes: DataFrame, *, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed:
         return _near_in_groups(rows, "centre", 8)
 
     for _ in range(rounds):
-        indegree = edges.groupBy("nbr").agg(F.count("*").alias("n"))
-        back = edges.join(indegree, "nbr").filter(F.pmod(F.xxhash64("node", "nbr"), F.lit(1_000_000)) < 1_000_000 * k / F.col("n"))
-        both = edges.select(F.col("node").alias("centre"), F.col("nbr").alias("node"))
-        both = both.union(back.select(F.col("nbr").alias("centre"), "node")).distinct()
+        both = _both_ways(edges, k).select(F.col("node").alias("centre"), F.col("nbr").alias("node"))
         floor = edges.groupBy("node").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-1.5)).cast("float").alias("floor"))
         members = both.join(slim.join(floor, "node"), "node").withColumn("bin", F.pmod(F.xxhash64("centre"), F.lit(bins)))
         found = members.groupBy("bin").applyInArrow(meet, _EDGE)
@@ -193,33 +198,43 @@ class Beam:
         return np.flatnonzero(~self.expanded)[:most]
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, top: int = 5, beam: int = BEAM, expand: int = EXPAND, entries: int = ENTRIES, rounds: int = 40) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, top: int = 5, beam: int = BEAM, expand: int = EXPAND, entries: int | None = None, rounds: int = 40) -> DataFrame:
     """(query, rank, id, score): the `top` nearest ids of each of queries (id, vector)."""
     spark = nodes.sparkSession
     bins = shards_of(spark)
-    listed = graph.join(nodes.select(F.col("node").alias("nbr"), "half"), "nbr").groupBy("node")
-    listed = listed.agg(F.collect_list(F.struct("nbr", "half")).alias("nbrs"))  # as many as a node has neighbours
+    entries = entries or max(ENTRIES, 4 * math.isqrt(nodes.count()))
+    listed = _both_ways(graph, NEIGHBOURS).join(nodes.select(F.col("node").alias("nbr"), "half"), "nbr").groupBy("node")
+    listed = listed.agg(F.collect_list(F.struct("nbr", "half")).alias("nbrs"))  # about twice as many as a node has neighbours
     listed = cut_bucketed(listed, "node", bins, "ann_lists")
-    sample = nodes.select("node", "half").orderBy(F.xxhash64("node"), "node").limit(entries).collect()  # bounded
+    sample = nodes.select("node", "half").orderBy(F.xxhash64("node"), "node").limit(entries).collect()  # grows with the root of the nodes
     entry, entry_half = np.array([r["node"] for r in sample], np.int64), [bytes(r["half"]) for r in sample]
 
+    def bare(batches):
+        for batch in batches:
+            rows = np.asarray(batch.column("vector").flatten().cast(pa.float32())).reshape(batch.num_rows, -1) if batch.num_rows else ()
+            raw = [(r + np.float32(0)).tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], names=["id", "vector"])
+
     def begin(batches):
         base = _half(entry_half)
         for batch in batches:
-            rows = np.asarray(batch.column("vector").flatten().cast(pa.float32())).reshape(batch.num_rows, -1)
             if not batch.num_rows or not len(entry):
                 continue
-            q = unit(rows).astype(np.float32)
-            score = q @ base.T
+            raw = batch.column("vector").to_pylist()
+            q = unit(np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)).astype(np.float32)
             state = []
-            for s in score:
+            for s, own in zip(q @ base.T, batch.column("own").to_pylist(), strict=True):
                 t = np.lexsort((entry, -s))[:expand]
-                state.append(Beam(entry[t], s[t], np.zeros(len(t), bool)).dump())
-            raw = [(r + np.float32(0)).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary()), pa.array(state, pa.binary())], names=["id", "vector", "state"])
+                first = Beam(entry[t], s[t], np.zeros(len(t), bool))
+                if own is not None:
+                    first = first.merged(np.array([own], np.int64), np.ones(1), expand)
+                state.append(first.dump())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(state, pa.binary())], names=["query", "id", "vector", "state"])
 
-    asked = queries.select("id", "vector").mapInArrow(begin, "id long, vector binary, state binary")
+    asked = queries.select("id", "vector").mapInArrow(bare, "id long, vector binary")
     asked = asked.withColumn("query", F.xxhash64("id", "vector")).dropDuplicates(["query"])
+    asked = asked.join(nodes.select("vector", F.col("node").alias("own")), "vector", "left").select("query", "id", "vector", "own")
+    asked = asked.mapInArrow(begin, "query long, id long, vector binary, state binary")
     state = cut(asked.select("query", "id", "vector", "state"), "ann-state")
 
     def frontier(batches):

@@ -63,6 +63,15 @@ def test_few_and_no_candidates(spark):
     assert A.nearest(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_tight_groups_larger_than_the_lists(spark):
+    rng = np.random.default_rng(5)
+    size = A.NEIGHBOURS + 18
+    rows = [(i, (c + 0.05 * rng.normal(size=16)).tolist()) for i, c in enumerate(np.repeat(rng.normal(size=(30, 16)), size, axis=0))]
+    got = A.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=10, entries=8).collect()
+    check(got, brute(rows, 10, 5), 0.95, 5)
+    assert all(r.query_id // size == r.vec_id // size for r in got)
+
+
 @pytest.mark.parametrize("sf", ["sf0.1"])
 def test_recall_of_the_query(spark, sf):
     at = f"/root/testdata/{sf}"
