@@ -9,8 +9,8 @@ neighbours change.
 A query starts from its own node, where its vector has one, and from the nearest of a sample of nodes (ENTRIES at least,
 and four times the root of their number). In each round it expands its nearest nodes that aren't expanded yet: a join
 with the graph brings their neighbours, and as many of those that have them as neighbours. It keeps the BEAM nearest nodes and ends when
-these are all expanded. The graph works on rounded vectors; the results are ranked by the cosine of the original
-vectors in double precision.
+these are all expanded. The graph, the beam and the results, which are ranked from the whole beam, all go by the
+cosine of the original vectors in double precision, so that near copies are told apart.
 
 All rows are indexed; the sample is for entry points only. Vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part, nor do null ids. Rows alike in id and vector count once; an id with
@@ -49,14 +49,14 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _half(raw: list[bytes]) -> np.ndarray:
+def _units(raw: list[bytes]) -> np.ndarray:
     if not raw:
-        return np.zeros((0, 1), np.float32)
-    return np.frombuffer(b"".join(raw), np.float16).reshape(len(raw), -1).astype(np.float32)
+        return np.zeros((0, 1))
+    return unit(np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1))
 
 
 def nodes_of(some: DataFrame, ids: int) -> DataFrame:
-    """(node, ids, vector, half): distinct vectors with their `ids` smallest ids; node is the smallest."""
+    """(node, ids, vector): distinct vectors with their `ids` smallest ids; node is the smallest."""
 
     def distinct(batches):
         for batch in batches:
@@ -72,14 +72,7 @@ def nodes_of(some: DataFrame, ids: int) -> DataFrame:
     few = some.mapInArrow(distinct, "vector binary, ids array<long>").groupBy("vector")
     few = few.agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, ids).alias("ids"))
 
-    def rounded(batches):
-        for batch in batches:
-            raw = batch.column("vector").to_pylist()
-            rows = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1) if raw else np.zeros((0, 1), np.float32)
-            half = [r.tobytes() for r in unit(rows).astype(np.float16)] if raw else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(half, pa.binary())], names=[*batch.schema.names, "half"])
-
-    return few.select(F.col("ids")[0].alias("node"), "ids", "vector").mapInArrow(rounded, "node long, ids array<long>, vector binary, half binary")
+    return few.select(F.col("ids")[0].alias("node"), "ids", "vector")
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -97,11 +90,11 @@ def _both_ways(edges: DataFrame, k: int) -> DataFrame:
 
 
 def _near_in_groups(rows: pa.Table, key: str, k: int) -> pa.Table:
-    """For each member of a group (column key; with node, half and the score to beat), its k nearest others there."""
+    """For each member of a group (column key; with node, vector and the score to beat), its k nearest others there."""
     group = np.asarray(rows.column(key))
     order = np.argsort(group, kind="stable")
     node, floor = np.asarray(rows.column("node"))[order], np.asarray(rows.column("floor"))[order]
-    x = _half(rows.column("half").to_pylist())[order]
+    x = _units(rows.column("vector").to_pylist())[order]
     group = group[order]
     cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     a, b, s = [], [], []
@@ -119,10 +112,10 @@ def _near_in_groups(rows: pa.Table, key: str, k: int) -> pa.Table:
         b.append(node[lo + j])
         s.append(score[i, j])
     cat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
-    return pa.table({"node": cat(a, pa.int64()), "nbr": cat(b, pa.int64()), "score": cat(s, pa.float32())})
+    return pa.table({"node": cat(a, pa.int64()), "nbr": cat(b, pa.int64()), "score": cat(s, pa.float64())})
 
 
-_EDGE = "node long, nbr long, score float"
+_EDGE = "node long, nbr long, score double"
 
 
 def build(nodes: DataFrame, *, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = 11, done: float = 0.01) -> DataFrame:
@@ -130,7 +123,7 @@ def build(nodes: DataFrame, *, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed:
     spark = nodes.sparkSession
     n = nodes.count()
     bins = max(4, 4 * shards_of(spark))
-    slim = nodes.select("node", "half")
+    slim = nodes.select("node", "vector")
     groups = max(1, math.ceil(n / GROUP))
     bits = max(1, groups.bit_length())
 
@@ -140,19 +133,19 @@ def build(nodes: DataFrame, *, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed:
     def signs(batches):
         planes = None
         for batch in batches:
-            x = _half(batch.column("half").to_pylist())
+            x = _units(batch.column("vector").to_pylist())
             if planes is None or planes.shape[1] != x.shape[1] * 2:
                 planes = np.random.default_rng(seed).normal(size=(2 * bits, x.shape[1]))
             for t in range(2):
                 code = ((x @ planes[t * bits : (t + 1) * bits].T) > 0) @ (1 << np.arange(bits)) if batch.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int64) * 2 + t, pa.int64())], names=["node", "half", "code"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int64) * 2 + t, pa.int64())], names=["node", "vector", "code"])
 
-    coded = slim.mapInArrow(signs, "node long, half binary, code long")
+    coded = slim.mapInArrow(signs, "node long, vector binary, code long")
     count = coded.groupBy("code").agg(F.count("*").alias("n"))
     coded = coded.join(count, "code").withColumn("group", F.xxhash64("code", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP).cast("long"))))
     random = slim.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(1))))
     random = random.withColumn("group", F.xxhash64("t", F.pmod(F.xxhash64("node", "t", F.lit(seed)), F.lit(groups))))
-    start = coded.select("group", "node", "half").unionByName(random.select("group", "node", "half")).withColumn("floor", F.lit(-1.5).cast("float"))
+    start = coded.select("group", "node", "vector").unionByName(random.select("group", "node", "vector")).withColumn("floor", F.lit(-1.5).cast("double"))
     start = start.withColumn("bin", F.pmod(F.xxhash64("group"), F.lit(bins)))
     edges = cut(_best(start.groupBy("bin").applyInArrow(near, _EDGE), k), "ann-graph")
 
@@ -161,7 +154,7 @@ def build(nodes: DataFrame, *, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed:
 
     for _ in range(rounds):
         both = _both_ways(edges, k).select(F.col("node").alias("centre"), F.col("nbr").alias("node"))
-        floor = edges.groupBy("node").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-1.5)).cast("float").alias("floor"))
+        floor = edges.groupBy("node").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-1.5)).cast("double").alias("floor"))
         members = both.join(slim.join(floor, "node"), "node").withColumn("bin", F.pmod(F.xxhash64("centre"), F.lit(bins)))
         found = members.groupBy("bin").applyInArrow(meet, _EDGE)
         new = cut(_best(edges.union(found), k), "ann-graph")
@@ -180,17 +173,17 @@ class Beam:
         self.node, self.score, self.expanded = node, score, expanded
 
     def dump(self) -> bytes:
-        return np.int64(len(self.node)).tobytes() + self.node.tobytes() + self.score.astype(np.float32).tobytes() + self.expanded.tobytes()
+        return np.int64(len(self.node)).tobytes() + self.node.tobytes() + self.score.astype(np.float64).tobytes() + self.expanded.tobytes()
 
     @classmethod
     def parse(cls, raw: bytes):
         n = int(np.frombuffer(raw[:8], np.int64)[0])
-        return cls(np.frombuffer(raw[8 : 8 + 8 * n], np.int64), np.frombuffer(raw[8 + 8 * n : 8 + 12 * n], np.float32), np.frombuffer(raw[8 + 12 * n :], bool))
+        return cls(np.frombuffer(raw[8 : 8 + 8 * n], np.int64), np.frombuffer(raw[8 + 8 * n : 8 + 16 * n], np.float64), np.frombuffer(raw[8 + 16 * n :], bool))
 
     def merged(self, node, score, most: int):
         expanded = np.concatenate([self.expanded, np.zeros(len(node), bool)])
         node, at = np.unique(np.concatenate([self.node, node]), return_index=True)
-        score, expanded = np.concatenate([self.score, score.astype(np.float32)])[at], expanded[at]
+        score, expanded = np.concatenate([self.score, score])[at], expanded[at]
         top = np.lexsort((node, -score))[:most]
         return Beam(node[top], score[top], expanded[top])
 
@@ -203,11 +196,11 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, top: int =
     spark = nodes.sparkSession
     bins = shards_of(spark)
     entries = entries or max(ENTRIES, 4 * math.isqrt(nodes.count()))
-    listed = _both_ways(graph, NEIGHBOURS).join(nodes.select(F.col("node").alias("nbr"), "half"), "nbr").groupBy("node")
-    listed = listed.agg(F.collect_list(F.struct("nbr", "half")).alias("nbrs"))  # about twice as many as a node has neighbours
+    listed = _both_ways(graph, NEIGHBOURS).join(nodes.select(F.col("node").alias("nbr"), "vector"), "nbr").groupBy("node")
+    listed = listed.agg(F.collect_list(F.struct("nbr", "vector")).alias("nbrs"))  # about twice as many as a node has neighbours
     listed = cut_bucketed(listed, "node", bins, "ann_lists")
-    sample = nodes.select("node", "half").orderBy(F.xxhash64("node"), "node").limit(entries).collect()  # grows with the root of the nodes
-    entry, entry_half = np.array([r["node"] for r in sample], np.int64), [bytes(r["half"]) for r in sample]
+    sample = nodes.select("node", "vector").orderBy(F.xxhash64("node"), "node").limit(entries).collect()  # grows with the root of the nodes
+    entry, entry_raw = np.array([r["node"] for r in sample], np.int64), [bytes(r["vector"]) for r in sample]
 
     def bare(batches):
         for batch in batches:
@@ -216,14 +209,13 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, top: int =
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], names=["id", "vector"])
 
     def begin(batches):
-        base = _half(entry_half)
+        base = _units(entry_raw)
         for batch in batches:
             if not batch.num_rows or not len(entry):
                 continue
             raw = batch.column("vector").to_pylist()
-            q = unit(np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)).astype(np.float32)
             state = []
-            for s, own in zip(q @ base.T, batch.column("own").to_pylist(), strict=True):
+            for s, own in zip(_units(raw) @ base.T, batch.column("own").to_pylist(), strict=True):
                 t = np.lexsort((entry, -s))[:expand]
                 first = Beam(entry[t], s[t], np.zeros(len(t), bool))
                 if own is not None:
@@ -260,12 +252,11 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, top: int =
             done = b.expanded.copy()
             done[b.next(expand)] = True
             b.expanded = done
-            new = {x["nbr"]: x["half"] for x in got.get(q, ())}
+            new = {x["nbr"]: x["vector"] for x in got.get(q, ())}
             for x in b.node.tolist():
                 new.pop(x, None)
             if new:
-                v = unit(np.frombuffer(r["vector"], np.float32)[None])[0].astype(np.float32)
-                b = b.merged(np.fromiter(new, np.int64, len(new)), _half(list(new.values())) @ v, beam)
+                b = b.merged(np.fromiter(new, np.int64, len(new)), _units(list(new.values())) @ _units([r["vector"]])[0], beam)
             for k, x in (("query", q), ("id", r["id"]), ("vector", r["vector"]), ("state", b.dump())):
                 out[k].append(x)
         return pa.table({k: pa.array(v, pa.binary() if k in ("vector", "state") else pa.int64()) for k, v in out.items()})
@@ -277,7 +268,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, top: int =
             drop(open_)
             break
         got = open_.join(listed, "node").select("query", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("vector"), F.lit(None).cast("binary").alias("state"), "nbrs")
-        kept = state.withColumn("nbrs", F.lit(None).cast("array<struct<nbr:bigint,half:binary>>"))
+        kept = state.withColumn("nbrs", F.lit(None).cast("array<struct<nbr:bigint,vector:binary>>"))
         both = kept.unionByName(got).withColumn("bin", F.pmod(F.xxhash64("query"), F.lit(bins)))
         new = cut(both.groupBy("bin").applyInArrow(advance, schema), "ann-state")
         drop(open_, state)
@@ -289,7 +280,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, top: int =
         for batch in batches:
             query, node = [], []
             for q, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                near = Beam.parse(raw).node[: 4 * top + 4].tolist()
+                near = Beam.parse(raw).node.tolist()
                 query += [q] * len(near)
                 node += near
             yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(node, pa.int64())], names=["query", "node"])
