@@ -3,31 +3,40 @@
 Targets: sources, by code point with null last, weigh 3, 1, 2, repeating, and share a total; a target stops at a
 multiple of its source's size, and the excess is shared anew by weight until none is above.
 
-Draw: each source's documents fall into permuted blocks by a hash. A source's target is some whole passes over it and
-a rest: the first blocks of the permutation, and of the block at the edge the first documents. A (source, pass)
-that takes all or some blocks has an exact quota of blocks. The tree splits these quotas among the output shards: at
-each node a multivariate hypergeometric draw says how many blocks of each source go left, in proportion to the shards
-there, and the leaves hold exact quotas that add up to the whole. Each shard then has a range of each source's permuted
-block sequence, disjoint from the others', and shuffles locally: rows are ordered by a hash within the shard.
-
-Only numbers by source, and by source and block, are gathered: at most `blocks` rows for each source, however large
-it is, so a source with a third of all rows is many groups. The seed fixes every draw; reruns agree.
-
-Null texts have size 0. Null sources are a source of their own. Repeated rows are drawn each for itself (those alike in
-id and size are interchangeable). Documents of size 0 are taken with the passes of their place. Columns that are
-added replace columns of the same name; an empty table gives an empty table.
+Draw: a hash gives each document a point, and the points of a source, in order, are its permutation; equal stretches of
+points are its permuted blocks, about as many words in each of all sources. A source's target is some whole passes over
+its blocks and a rest: the documents up to one point, which is found to the document by counting ever finer stretches.
+So a source has an exact quota of blocks, those of all its passes one after another. The tree splits these quotas
+among the output shards: at each node a multivariate hypergeometric draw says how many blocks of each source go left, in
+proportion to the shards there, and the leaves hold exact quotas that add up to the whole. A leaf's quota is the next
+stretch of its source's sequence of blocks: a document is taken as often as its block lies in a leaf's stretch, and goes
+to that leaf's shard. Shards are then shuffled locally: their rows are in the order of a hash.
+
+The driver and the executors hold one row for each source, whatever its size; a source with a third of all rows is counted
+by stretches, and only numbers are shuffled for that. With more sources than BROADCAST the row of a source is joined plainly.
+The seed fixes every draw; reruns agree.
+
+Null texts have size 0. Null sources are a source of their own. Repeated rows are drawn each for itself (of rows alike in
+id, source and text, at the end of the rest, any come first). Documents of size 0 are taken with the passes of their place.
+Columns that are added replace columns of the same name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, load
+from .common import WORD, cut, drop, load
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SEED = 20240601
+SHARDS, BLOCKS, PART_WORDS = 64, 1 << 14, 1 << 16
+#: most sources whose rows (about 1 KB each) are sent to every executor
+BROADCAST = 10_000
+_BITS, _STEP = 63, 10
 
 
 def targets(sizes: list[int], *, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -74,6 +83,45 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def block_of(point, blocks):
+    """The block of a point, of so many; for columns and numbers alike."""
+    if isinstance(point, Column):
+        return F.shiftrightunsigned(F.shiftrightunsigned(point, 31) * blocks, 32)
+    return (point >> 31) * blocks >> 32
+
+
+def _with(rows: DataFrame, of: DataFrame, n: int) -> DataFrame:
+    """rows, each with the row of its source."""
+    return rows.join(F.broadcast(of) if n <= BROADCAST else of, F.col("\u0001source").eqNullSafe(F.col("\u0001of"))).drop("\u0001of")
+
+
+def _ends(slim: DataFrame, rest: dict) -> dict:
+    """For each source with a rest (words): the point at which it ends, and how many of how many rows there are within.
+
+    Rows before that point are within. Each round counts stretches a thousandth as wide, of the one where the rest ends.
+    """
+    spark = slim.sparkSession
+    out, left, shift = {}, {s: (0, w) for s, w in rest.items() if w > 0}, _BITS
+    while left:
+        near = max(0, shift - _STEP)
+        rows = [(s, at, float(w)) for s, (at, w) in left.items()]
+        of = spark.createDataFrame(rows, "`\u0001of` string, stretch long, room double")
+        some = _with(slim, of, len(rows)).filter(F.shiftright("\u0001point", shift) == F.col("stretch"))
+        some = some.groupBy("\u0001source", F.shiftright("\u0001point", near).alias("at"))
+        some = some.agg(F.sum("\u0001size").alias("words"), F.count("*").alias("n"), F.min("\u0001point").alias("a"), F.max("\u0001point").alias("b"), F.first("room").alias("room"))
+        sums = Window.partitionBy("\u0001source").orderBy("at")  # a thousand stretches
+        some = some.withColumn("before", F.sum("words").over(sums) - F.col("words")).filter("before <= room and before + words > room")
+        found, left = {r["\u0001source"]: r for r in some.collect()}, {}
+        for s, r in found.items():
+            room = r["room"] - r["before"]
+            if r["a"] == r["b"]:  # one document, or rows alike
+                out[s] = r["a"], min(r["n"], math.floor(room * r["n"] / r["words"] + 0.5)), r["n"]
+            else:
+                left[s] = r["at"], room
+        shift = near
+    return out
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -81,81 +129,97 @@ def mix(
     source_col: str = "source",
     text_col: str = "text",
     size_col: str | None = None,
-    shards: int = 64,
-    blocks: int = 1024,
+    shards: int = SHARDS,
+    blocks: int = BLOCKS,
     seed: int = SEED,
     share: float = 1.5,
     most: float = 2.0,
     weights=WEIGHTS,
 ) -> DataFrame:
     """docs with size, source_size, target, times (how often the mix takes the document), taken (words), and for each
-    time its shard and place within it: draws array<struct<shard, place>>.
+    time its shard, the part of it, and its place within that: draws array<struct<shard, part, place>>.
 
-    size_col: a column that has the sizes already. The driver holds one row for each source.
+    blocks: about how many the mix has. size_col: a column that has the sizes already; text_col may then be a hash.
     """
     spark = docs.sparkSession
     added = ("size", "source_size", "target", "times", "taken", "draws")
     size = F.col(f"`{size_col}`").cast("long") if size_col else size_of(F.col(f"`{text_col}`").cast("string"))
     kept = [c for c in docs.columns if c not in added]
-    source, block, key = "\u0001source", "\u0001block", F.col(f"`{id_col}`")
-    sized = docs.withColumns({"\u0001size": size, source: F.col(f"`{source_col}`").cast("string")})
-    sized = sized.withColumn(block, F.pmod(F.xxhash64(F.lit(seed), key, source, "\u0001size"), F.lit(blocks)).cast("int"))
-    by_block = cut(sized.groupBy(source, block).agg(F.sum("\u0001size").alias("words")), "mix-blocks")
-
-    got = by_block.groupBy(source).agg(F.sum("words").alias("words"), F.count("*").alias("n")).collect()
-    sources = sorted(((r[0], int(r["words"]), r["n"]) for r in got), key=lambda r: (r[0] is None, r[0] or ""))
-    wanted = targets([w for _, w, _ in sources], weights=weights, share=share, most=most)
-    rows = [(s, w, t, int(t // w) if w else 0, t % w if w else 0.0, n) for (s, w, n), t in zip(sources, wanted, strict=True)]
-    per = spark.createDataFrame(rows, "of string, source_size long, target double, passes int, rest double, n long")
-
-    # blocks in permuted order; the last, partial pass takes those that begin within the rest
-    order = Window.partitionBy(source).orderBy(F.xxhash64(F.lit(seed + 1), source, block), block)
-    ranked = by_block.join(per, F.col(source).eqNullSafe(F.col("of"))).drop("of")
-    ranked = ranked.withColumns({"rank": F.row_number().over(order) - 1, "room": F.col("rest") - F.sum("words").over(order) + F.col("words")})
-    ranked = cut(ranked, "mix-ranked")
-    part = {r[0]: r["part"] for r in ranked.groupBy(source).agg(F.sum((F.col("room") > 0).cast("long")).alias("part")).collect()}
-    quotas = np.array([n * passes + part[s] for s, _, _, passes, _, n in rows], np.int64)
-    # shard k has draws [ends[k - 1], ends[k]) of each source's sequence, in which a pass goes through all blocks by rank
-    ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0)
-    leaves = [(s, [int(x) for x in ends[:, i]]) for i, (s, _, _) in enumerate(sources)]
-    leaf = spark.createDataFrame(leaves, "of string, ends array<long>")
-    shard = lambda k: F.size(F.filter("ends", lambda e: e <= k * F.col("n") + F.col("rank")))
-    ranked = ranked.join(leaf, F.col(source).eqNullSafe(F.col("of"))).select(
-        F.col(source).alias("\u0001of"),
-        F.col(block).alias("\u0001at"),
-        F.struct("words", "source_size", "target", "passes", "room", F.transform(F.sequence(F.lit(0), "passes"), shard).alias("shards")).alias("\u0001b"),
-    )
-
-    out = sized.join(ranked, F.col(source).eqNullSafe(F.col("\u0001of")) & (F.col(block) == F.col("\u0001at"))).drop("\u0001of", "\u0001at")
+    source = F.col(f"`{source_col}`").cast("string")
+    point = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), source, F.col(f"`{text_col}`")), 1)
+    sized = docs.withColumns({"\u0001size": size, "\u0001source": source, "\u0001point": point})
+    slim = cut(sized.select("\u0001source", "\u0001size", "\u0001point"), "mix-sizes")
+
+    got = slim.groupBy("\u0001source").agg(F.sum("\u0001size").alias("words")).collect()  # one row for each source
+    sources = sorted(((r[0], int(r[1])) for r in got), key=lambda r: (r[0] is None, r[0] or ""))
+    wanted = targets([w for _, w in sources], weights=weights, share=share, most=most)
+    total = sum(wanted)
+    of_words = lambda w: max(1, round(blocks * w / total)) if total else 1
+    passes = {s: int(t // w) if w else 0 for (s, w), t in zip(sources, wanted, strict=True)}
+    ends = _ends(slim, {s: t - passes[s] * w for (s, w), t in zip(sources, wanted, strict=True)})
+    drop(slim)
+    rest = [block_of(ends[s][0], of_words(w)) + 1 if s in ends else 0 for s, w in sources]
+    quotas = np.array([passes[s] * of_words(w) + r for (s, w), r in zip(sources, rest, strict=True)], np.int64)
+    leaves = np.cumsum(split_quotas(quotas, shards, seed), axis=0)
+    none = (-1, 0, 0)
+    rows = [
+        (s, w, t, passes[s], of_words(w), *ends.get(s, none), [int(x) for x in leaves[:, i]])
+        for i, ((s, w), t) in enumerate(zip(sources, wanted, strict=True))
+    ]
+    of = spark.createDataFrame(rows, "of string, source_size long, target double, passes int, blocks long, end long, within long, alike long, leaves array<long>")
+    of = of.select(F.col("of").alias("\u0001of"), F.struct(*of.columns[1:]).alias("\u0001b"))
     b = lambda name: F.col("\u0001b")[name]
-    edge = (b("room") > 0) & (b("room") < b("words"))
-    # of the block at the edge, documents in permuted order as long as their middle is within the rest
-    inside = Window.partitionBy(source, block).orderBy(F.xxhash64(F.lit(seed + 2), key, "\u0001size"), key, "\u0001size")
-    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = out.filter(~edge).withColumn("\u0001extra", b("room") >= b("words"))
-    partly = out.filter(edge).withColumn("\u0001extra", F.sum("\u0001size").over(inside) - F.col("\u0001size") / 2 <= b("room"))
-    out = whole.unionByName(partly).withColumn("\u0001times", b("passes") + (F.col("\u0001extra") & (b("room") > 0)).cast("int"))
-    draw = lambda s, k: F.struct(s.alias("shard"), F.xxhash64(F.lit(seed + 3), k, key).alias("place"))
+
+    out = _with(sized, of, len(rows))
+    at_end = F.col("\u0001point") == b("end")
+    inside = (F.col("\u0001point") < b("end")) | (at_end & (b("within") == b("alike")))
+    if any(0 < x < n for _, x, n in ends.values()):  # of rows alike, some
+        some = at_end & (b("within") > 0) & (b("within") < b("alike"))
+        rank = F.row_number().over(Window.partitionBy("\u0001source").orderBy("\u0001point"))
+        out = out.filter(~some).withColumn("\u0001extra", inside).unionByName(out.filter(some).withColumn("\u0001extra", rank <= b("within")))
+    else:
+        out = out.withColumn("\u0001extra", inside)
+    parts = max(1, math.ceil(total / shards / PART_WORDS))
+
+    def draw(k: Column) -> Column:
+        """The draw of the document in pass k: the leaf in whose stretch its block of that pass is."""
+        at = k * b("blocks") + block_of(F.col("\u0001point"), b("blocks"))
+        place = F.xxhash64(F.lit(seed + 3), k, F.col("\u0001point"))
+        part = F.shiftrightunsigned(F.shiftrightunsigned(place, 32) * F.lit(parts), 32).cast("int")
+        return F.struct(F.size(F.filter(b("leaves"), lambda e: e <= at)).alias("shard"), part.alias("part"), place.alias("place"))
+
+    through = F.slice(F.sequence(F.lit(0), b("passes")), F.lit(1), b("passes") + F.col("\u0001extra").cast("int"))
+    drawn_ = F.filter(F.transform(through, draw), lambda d: d["shard"] < shards)
+    out = out.withColumn("\u0001draws", drawn_)
     made = {
         "size": F.col("\u0001size"),
         "source_size": b("source_size"),
         "target": b("target"),
-        "times": F.col("\u0001times"),
-        "taken": F.col("\u0001size") * F.col("\u0001times"),
-        "draws": F.transform(F.slice(b("shards"), F.lit(1), F.col("\u0001times")), draw),
+        "times": F.size("\u0001draws"),
+        "taken": F.col("\u0001size") * F.size("\u0001draws"),
+        "draws": F.col("\u0001draws"),
     }
     return out.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(k) for k, v in made.items()])
 
 
 def drawn(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its shard and place. Written by shard and in the
-    order of place, the shards are shuffled locally."""
-    return mixed.select("*", F.explode("draws").alias("\u0001draw")).select("*", "\u0001draw.shard", "\u0001draw.place").drop("\u0001draw", "draws")
+    """The mix itself: each document as often as it is taken, with its shard, part and place."""
+    each = mixed.select("*", F.explode("draws").alias("\u0001draw")).drop("draws")
+    return each.select("*", "\u0001draw.shard", "\u0001draw.part", "\u0001draw.place").drop("\u0001draw")
+
+
+def laid_out(mixed: DataFrame) -> DataFrame:
+    """The mix shuffled: rows of a shard's part (about PART_WORDS words, a stretch of its places) are together, in the order of their
+    places, and the parts of all shards are dealt over the tasks."""
+    return drawn(mixed).repartition("shard", "part").sortWithinPartitions("shard", "part", F.expr("shiftrightunsigned(place, 1)"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", size_of(F.col("text")).alias("n"))
-    return mix(cut(docs, "mix-sizes"), size_col="n").select("doc_id", "size", "source_size", "target", "taken")
+    text = F.col("text")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", size_of(text).alias("n"), F.xxhash64(text).alias("text"))
+    out = mix(cut(docs, "mix-sizes"), size_col="n")
+    shards, places = F.col("draws.shard").alias("shards"), F.col("draws.place").alias("places")
+    return out.select("doc_id", "size", "source_size", "target", "taken", shards, places)
 
 
 QUERIES = {"op5_mixing": op5_mixing}
