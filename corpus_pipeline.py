@@ -49,8 +49,9 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: up to twice, or not at all."""
-    return mixing.drawn(mixing.mix(docs.select(*COLUMNS))).select(*COLUMNS)
+    """Each document as often as the mix takes it: up to twice, or not at all; the rows of a part of a shard are together, in
+    the order of their places."""
+    return mixing.laid_out(mixing.mix(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
