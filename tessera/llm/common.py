@@ -1,8 +1,7 @@
 """What several operators share: words as numpy arrays, blocks of documents, and written cuts.
 
-Words are the maximal runs of characters other than space and U+0009..U+000D. A word is handled as a 64-bit
-polynomial hash of its UTF-8 bytes (random per-byte table, finalised), so that a batch of texts becomes one flat
-array without a Python loop over words.
+Words are the maximal runs of characters other than space and U+0009..U+000D. A word is handled as a 64-bit hash of its
+UTF-8 bytes, so that a batch of texts becomes one flat array without a Python loop over words.
 
 A *block* is a few MB of documents, packed by zstd into one binary value. Operators that need answers from the
 whole corpus (is this fingerprint known elsewhere? how often does this word occur?) let each block ask every shard
@@ -24,11 +23,10 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = np.int64(2**63 - 1)
-_MASK = (1 << 64) - 1
-_B = 0x9E3779B97F4A7C15
-_B_INV = pow(_B, -1, 1 << 64)
-_STEP = 1 << 20
-_TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SPAN = 16
+_FULL = np.uint64((1 << 64) - 1)
+_ODD, _STEP_ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_KEEP = 1 << 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
@@ -95,7 +93,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 12), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 2 * _STEP:
+        if n <= _KEEP:
             _powers[base] = have
     return have[:n]
 
@@ -109,11 +107,30 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
-    """A 64-bit hash of values[s:e] for every span; equal contents give equal hashes wherever they stand."""
+    """A 64-bit hash of values[s:e] for every span; equal contents give equal hashes wherever they stand.
+
+    Polynomials modulo 2**64 are only used over SPAN values, as long sequences of two values collide whatever the base: a
+    longer span is the sum of its stretches' hashes, each mixed with its number.
+    """
     n = len(values)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values * powers(base, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(pow(base, -1, 1 << 64), n + 1)[starts])
+    inverse = powers(pow(base, -1, 1 << 64), n + 1)
+
+    def short(s, e):
+        return mix((sums[e] - sums[s]) * inverse[s])
+
+    lens = ends - starts
+    out = short(starts, np.minimum(ends, starts + SPAN))
+    long = np.flatnonzero(lens > SPAN)
+    if len(long):
+        times = -(-lens[long] // SPAN)
+        first = np.cumsum(times) - times
+        k = np.arange(times.sum()) - np.repeat(first, times)
+        s = np.repeat(starts[long], times) + k * SPAN
+        parts = mix(short(s, np.minimum(s + SPAN, np.repeat(ends[long], times))) + k.astype(np.uint64) * _ODD)
+        out[long] = mix(np.add.reduceat(parts, first) ^ lens[long].astype(np.uint64) * _ODD)
+    return out
 
 
 def text_column(col) -> tuple[np.ndarray, np.ndarray]:
@@ -145,22 +162,38 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, in steps of about 1 MB so that memory stays bounded."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """64-bit hash of each word: of its bytes, eight at a time, each eight mixed with their number, and of its length."""
+    eights = np.zeros(len(data) // 8 + 2, np.uint64)
+    eights.view(np.uint8)[: len(data)] = data
     out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        a = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, a + _STEP, "right")))
-        b = ends[j - 1]
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_TABLE[data[a:b]] * powers(_B, b - a), out=sums[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = mix((sums[e] - sums[s]) * powers(_B_INV, b - a + 1)[s])
-        i = j
+    for a in range(0, len(out), step):  # portions that stay in the processor's cache
+        out[a : a + step] = _hash_words(eights, starts[a : a + step], ends[a : a + step])
     return out
 
 
+def _load(eights: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n bytes (1 to 8) from each place, the rest zero."""
+    low, bit = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+    # a shift by 64 is one by 63 and one more
+    got = (eights[low] >> bit) | (eights[low + 1] << (np.uint64(63) - bit) << np.uint64(1))
+    return got & (_FULL >> ((8 - n).astype(np.uint64) << np.uint64(3)))
+
+
+def _hash_words(eights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    lens = ends - starts
+    out = mix(_load(eights, starts, np.minimum(lens, 8)) * _ODD + np.uint64(1))
+    long = np.flatnonzero(lens > 8)
+    if len(long):
+        times = (lens[long] - 1) >> 3
+        first = np.cumsum(times) - times
+        k = np.arange(times.sum()) - np.repeat(first, times) + 1
+        at = np.repeat(starts[long], times) + (k << 3)
+        more = _load(eights, at, np.minimum(np.repeat(ends[long], times) - at, 8))
+        out[long] += np.add.reduceat(mix(more * _ODD + (k << 1 | 1).astype(np.uint64) * _STEP_ODD), first)
+    return mix(out ^ lens.astype(np.uint64) * _STEP_ODD)
+
+
 # ---------------------------------------------------------------- blocks
 
 
