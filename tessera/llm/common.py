@@ -83,6 +83,12 @@ def shards_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shards_for(table: DataFrame, block_bytes: int, most: int = 32 << 20) -> int:
+    """How many shards answer the blocks of a written table: spark.sql.shuffle.partitions, or more, so that a shard's part
+    comes from about `most` bytes of text."""
+    return max(shards_of(table.sparkSession), -(-table.count() * block_bytes // most))
+
+
 # ---------------------------------------------------------------- words
 
 
