@@ -2,7 +2,8 @@
 
 The text is several segments of word codes. Its Burrows-Wheeler transform is held in a wavelet matrix: one bit vector
 for each bit of a code, packed 64 to a word, with a count before each of these. A backward step narrows a whole array
-of suffix intervals by one word each.
+of suffix intervals by one word each. Of the suffix order itself only the rows are kept at which the first words change:
+a packed bit for each row, and their numbers.
 """
 
 from __future__ import annotations
@@ -98,10 +99,10 @@ class FMIndex:
         text[ends + np.arange(m)] = np.arange(m)[::-1]  # distinct separators, the last one smallest
         order, group = suffix_order(text, depth)
         size = n + m
-        #: suffix rows that share their first `depth` words: group of each row, first row of each group
-        self.group = group
-        self.group_start = np.concatenate([np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), [size]])
-        self.order = order
+        #: suffix rows that share their first `depth` words: a bit for the first row of each group, and those rows
+        opens = np.concatenate([[True], group[1:] != group[:-1]])
+        self.opens = Bits(opens)
+        self.group_start = np.append(np.flatnonzero(opens), size).astype(np.uint32 if size < 1 << 32 else np.int64)
         last = text[order - 1]
         coded = np.where(last >= m, last - m + 1, 0)
         self.wavelet = WaveletMatrix(coded, max(1, int(len(self.vocabulary)).bit_length()))
@@ -152,8 +153,8 @@ class FMIndex:
             lo, hi = np.where(empty, 0, nlo), np.where(empty, self.size, nhi)
             full = have >= self.depth
             if full.any():
-                g = self.group[lo[full]]
-                lo[full], hi[full] = self.group_start[g], self.group_start[g + 1]
+                g = self.opens.rank1(lo[full] + 1) - 1
+                lo[full], hi[full] = self.group_start[g], self.group_start[g + 1]  # as int64
                 found.append((doc[full], at[full] - begin[doc[full]], g))
             going = at > begin[doc]
             doc, at, lo, hi, have = doc[going], at[going], lo[going], hi[going], have[going]

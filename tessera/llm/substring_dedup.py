@@ -4,14 +4,18 @@ A window is `threshold` consecutive words. Every window has a minimizer, the sma
 sequences; consecutive windows with one minimizer form a segment. Equal windows have equal minimizers, so they meet in
 the shard that the minimizer names.
 
-1. Each block of documents asks, for its distinct minimizers, whether another segment of the corpus has them.
-2. For those that do, it sends its distinct segments (words and earliest place) to their shards.
+1. Each block of documents asks, for its distinct minimizers, whether another segment of the corpus has them, and whether
+   they are hot: more than HOT different segments have them, as those around a common phrase do.
+2. For those that do, it sends its distinct segments (words and earliest place) to their shards. Segments of hot
+   minimizers are cut into their windows, each of which goes to the shard that its own hash names, so that none but equal
+   windows meet by force.
 3. Each shard builds a compressed FM-index over its distinct segments, streams them through it by backward search, and
    so gets the suffix interval of every window; the earliest start within that interval says which windows start
    earlier elsewhere. It answers one bit a window.
 4. Each block applies the bits to all its occurrences and joins the words that are kept.
 
-A segment that a third of all documents have comes once from each block, so no shard sees its copies.
+A segment that a third of all documents have comes once from each block, so no shard sees its copies. The number of shards
+grows with the number of blocks.
 
 Documents are ordered by id (null ids last), then by a hash of the text. Rows with the same id and text are one
 document, and all get its result. Null texts count as empty; nothing is removed from texts with fewer words than the
@@ -28,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Block, answers_of, bits_of, blocks, by_shard, cut, flags_of, load, mix, shards_of, span_hash, unzip, with_answers, zipped
+from .common import Block, answers_of, bits_of, blocks, by_shard, cut, flags_of, load, mix, shards_for, span_hash, unzip, with_answers, zipped
 from .fm_index import FMIndex
 
 THRESHOLD = 20
+HOT = 32
 _GRAM = 8
 
 
@@ -77,11 +82,14 @@ class Segments:
                 recurs[1:-d] |= grams[:-d] == grams[d:]
             np.cumsum(recurs, out=recurs)
             again = (self.count > width) | (recurs[self.start + self.count + width - 1] > recurs[self.start])
+        self.content = span_hash(self.words, self.start, self.start + self.count + threshold - 1)
         keys, self.inverse, times = np.unique(self.key, return_inverse=True, return_counts=True)
         times[self.inverse[again]] += 1
+        different = np.bincount(self.inverse[np.unique(self.content, return_index=True)[1]], minlength=len(keys))
         shard = self._shard(keys, shards)
         order = np.argsort(shard, kind="stable")
         self.keys, self.twice, self.shard = keys[order], times[order] > 1, shard[order]
+        self.different = np.minimum(different[order], 0xFFFF).astype(np.uint16)
         self.where = np.empty(len(order), np.int64)
         self.where[order] = np.arange(len(order))
 
@@ -91,19 +99,24 @@ class Segments:
 
     def asks(self):
         for shard, part in by_shard(self.shard):
-            yield shard, self.keys[part].tobytes(), bits_of(self.twice[part])
+            yield shard, self.keys[part].tobytes(), bits_of(self.twice[part]), zipped(self.different[part].tobytes())
 
     def choose(self, answers: dict[int, bytes], shards: int) -> None:
-        """Keeps the segments whose minimizers are had elsewhere, and finds the distinct ones."""
-        known = np.zeros(len(self.keys), bool)
+        """Keeps the segments whose minimizers are had elsewhere, those of hot ones window by window, and finds the
+        distinct ones."""
+        known, hot = np.zeros(len(self.keys), bool), np.zeros(len(self.keys), bool)
         for shard, part in by_shard(self.shard):
             if shard in answers:
-                known[part] = flags_of(answers[shard], part.stop - part.start)
-        on = known[self.where[self.inverse]] if len(self.key) else np.zeros(0, bool)
-        self.start, self.count = self.start[on], self.count[on]
-        key = self.key[on]
-        length = self.count + self.threshold - 1
-        content = span_hash(self.words, self.start, self.start + length) if len(key) else key
+                n = part.stop - part.start
+                known[part], hot[part] = flags_of(answers[shard], 2 * n).reshape(2, n)
+        at = self.where[self.inverse] if len(self.key) else np.zeros(0, np.int64)
+        on, cut_ = known[at] & ~hot[at], known[at] & hot[at]
+        w = self.count[cut_]
+        window = np.repeat(self.start[cut_], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        name = span_hash(self.words, window, window + self.threshold)
+        key, content = np.concatenate([self.key[on], name]), np.concatenate([self.content[on], name])
+        self.start = np.concatenate([self.start[on], window])
+        self.count = np.concatenate([self.count[on], np.ones(len(window), np.int64)])
         self.content, first, self.of = np.unique(content, return_index=True, return_inverse=True)
         shard = self._shard(key[first], shards)
         order = np.argsort(shard, kind="stable")
@@ -118,6 +131,17 @@ class Segments:
         return doc, at - self.first[doc]
 
 
+def _known(keys: list[np.ndarray], twice: list[np.ndarray], different: list[np.ndarray], most: int) -> list[bytes]:
+    """For each block's minimizers, a bit whether another segment has them, and then a bit whether they are hot."""
+    every, of = np.unique(np.concatenate(keys), return_inverse=True)
+    asks, sums = np.bincount(of, minlength=len(every)), np.zeros(len(every), np.int64)
+    np.add.at(sums, of, np.concatenate(different).astype(np.int64))
+    hit = (asks[of] > 1) | np.concatenate(twice)
+    hot = sums[of] > most
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    return [bits_of(np.concatenate(x)) for x in zip(np.split(hit, cuts), np.split(hot, cuts), strict=True)]
+
+
 def _send(block: Block, seg: Segments, number: int):
     """Rows for the shards: a block's distinct segments."""
     doc, pos = seg.place(block, seg.start[seg.head])
@@ -209,15 +233,15 @@ def _removed(block: Block, seg: Segments, answers: dict[int, bytes]) -> np.ndarr
     return np.cumsum(gone[:n]) > 0
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, block_bytes: int = 4 << 20, untouched: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, hot: int = HOT, block_bytes: int = 4 << 20, untouched: bool = False) -> DataFrame:
     """(id_col, tie, n_words, n_removed, kept_text, spans): one row for each of docs'.
 
     tie is the text's crc32. spans are the removed stretches, as word positions [first, last + 1); kept_text is the other
     words joined by one space. With untouched, texts of which nothing is removed are returned as they are.
     """
     spark = docs.sparkSession
-    shards = shards_of(spark)
     table = blocks(docs, id_col, text_col, block_bytes, "substring")
+    shards = shards_for(table, block_bytes)
     binary = lambda values: pa.array(values, pa.binary())
 
     def ask(batches):
@@ -225,27 +249,19 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
             for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
                 rows = list(Segments(Block(payload.as_py()), threshold, shards).asks())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), binary([r[1] for r in rows]), binary([r[2] for r in rows])],
-                    names=["shard", "block", "keys", "twice"],
+                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), *(binary([r[i] for r in rows]) for i in (1, 2, 3))],
+                    names=["shard", "block", "keys", "twice", "different"],
                 )
 
     def known(rows: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("keys")]
-        lens = [len(k) for k in keys]
-        twice = np.concatenate([flags_of(x.as_py(), n) for x, n in zip(rows.column("twice"), lens, strict=True)])
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        same = every[order][1:] == every[order][:-1]
-        hit = np.zeros(len(every), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        hit |= twice
-        cuts = np.cumsum(lens)[:-1]
-        return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "bits": binary([bits_of(x) for x in np.split(hit, cuts)])})
-
-    asked = table.select("block", "payload").mapInArrow(ask, "shard int, block long, keys binary, twice binary")
+        twice = [flags_of(x.as_py(), len(k)) for x, k in zip(rows.column("twice"), keys, strict=True)]
+        different = [np.frombuffer(unzip(x.as_py()), np.uint16) for x in rows.column("different")]
+        return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "bits": binary(_known(keys, twice, different, hot))})
+
+    asked = table.select("block", "payload").mapInArrow(ask, "shard int, block long, keys binary, twice binary, different binary")
     answer = "block long, shard int, bits binary"
-    chosen = cut(asked.groupBy("shard").applyInArrow(known, answer), "substring-known")
+    chosen = cut(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(known, answer), "substring-known")
 
     def send(batches):
         for batch in batches:
@@ -265,7 +281,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
 
     first = with_answers(table.select("block", "payload"), chosen, "known")
     sent = first.mapInArrow(send, "block long, shard int, segments binary")
-    found = cut(sent.groupBy("shard").applyInArrow(search, answer), "substring-found")
+    found = cut(sent.repartition(shards, "shard").groupBy("shard").applyInArrow(search, answer), "substring-found")
     both = with_answers(first, found, "found")
 
     def apply(batches):

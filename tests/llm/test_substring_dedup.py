@@ -3,10 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import substring_dedup as D
-from tessera.llm.common import load
+from tessera.llm.common import Block, by_shard, flags_of, load, packed, unzip
 from tessera.llm.fm_index import FMIndex
 
 
@@ -44,7 +45,7 @@ def test_equals_brute_force(spark, seed):
     rows += [(200, None), (201, ""), (202, "a " * 500), (203, "a " * 100), (204, " \n "), (205, "é日 " * 30), (None, passages[0] + " tail"), (-5, passages[1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for threshold, size in ((20, 2000), (5, 500), (20, 1 << 22), (1, 3000)):
-        got = D.dedup(docs.repartition(3), threshold=threshold, block_bytes=size).collect()
+        got = D.dedup(docs.repartition(3), threshold=threshold, block_bytes=size, hot=3 if size < 3000 else D.HOT).collect()
         want = sorted((str(i), *w) for (i, _), w in zip(rows, brute(rows, threshold), strict=True))
         assert digest(got) == want
         for r in got:
@@ -96,3 +97,26 @@ def test_index_finds_all_matches():
                     want[j, i] = have[tuple(s[i : i + depth])]
         got = {(a, b): index.group_start[c + 1] - index.group_start[c] for a, b, c in zip(*index.matches(query, asked), strict=True)}
         assert got == want
+
+
+def test_a_common_phrase_loads_no_shard(spark):
+    """Texts that differ but for a phrase shorter than a window: their segments have one minimizer."""
+    rng, phrase, shards = random.Random(5), " ".join(f"p{i}" for i in range(15)), 200
+    texts = [" ".join(f"u{rng.randint(0, 10**6)}" for _ in range(30)) + f" {phrase} " + " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(3000)]
+    blocks = [Block(p) for a in range(0, 3000, 500) for _, p in packed(pa.array(range(a, a + 500)), pa.array(texts[a : a + 500]), 1 << 22)]
+    segments = [D.Segments(b, 20, shards) for b in blocks]
+    asks = {}
+    for k, seg in enumerate(segments):
+        for shard, keys, twice, different in seg.asks():
+            keys = np.frombuffer(keys, np.uint64)
+            asks.setdefault(shard, []).append((k, keys, flags_of(twice, len(keys)), np.frombuffer(unzip(different), np.uint16)))
+    answers = [{} for _ in blocks]
+    for shard, rows in asks.items():
+        for (k, *_), bits in zip(rows, D._known(*zip(*[r[1:] for r in rows], strict=True), D.HOT), strict=True):
+            answers[k][shard] = bits
+    load_of = np.zeros(shards, int)
+    for seg, got in zip(segments, answers, strict=True):
+        seg.choose(got, shards)
+        for shard, part in by_shard(seg.home):
+            load_of[shard] += part.stop - part.start
+    assert load_of.sum() > 6000 and load_of.max() < 2 * load_of.mean()
