@@ -3,19 +3,21 @@
 1. Documents with the same word sequence form a class; a class has one node, a 64-bit hash of the sequence.
 2. A class's MinHash values (16 bits each) are cut into bands; classes that share a band are compared. LSH with these
    bands misses a pair at the threshold with a probability of 4e-7, and pairs above it more rarely.
-3. A pair's values are compared in steps. After m of n agree, its Jaccard similarity has the posterior
-   Beta(m + 1, n - m + 1); the pair is dropped once the probability of reaching the threshold falls below a
-   tolerance (1e-9). What is left are candidates, of which a spanning forest is kept.
-4. Within each connected group of candidates all pairs are verified on their exact n-gram sets, which gives each
-   document's number of links and the groups of documents that links connect.
+3. A pair is compared in the first band that it shares, in steps: after m of n values agree, its Jaccard similarity has the
+   posterior Beta(m + 1, n - m + 1); the pair is dropped once the probability of reaching the threshold falls below a
+   tolerance (1e-9).
+4. The pairs that are left, and no others, are verified on their exact n-gram sets, where the texts of those that have any
+   left meet again. That gives each class's number of links and the edges of a forest of each task's links, and so the
+   groups of documents that links connect.
 
-No pair is ever a row: tasks compare blocks of classes and give counts by class and forest edges. A band, or a
-group, with more members than a block holds becomes one task for each pair of its blocks, so nothing is capped, and no
-task grows with a group. Copies are counted, not expanded.
+No pair is ever a row: tasks compare blocks of classes and give members, and then counts by class and forest edges. A band
+with more members, or longer texts, than a block holds becomes one task for each pair of its blocks, so nothing is
+capped, and no task grows with a group. Copies are counted, not expanded.
 
 A text with fewer words than an n-gram is one n-gram of all its words; texts without words (null too) are linked to
 none, and each is a class of its own. Repeated rows are copies. Null ids are members like others and name a class only if
-it has no other id. Extra columns are dropped; an empty table gives an empty table.
+it has no other id. Words, n-grams and word sequences are compared by 64-bit hashes. Extra columns are dropped; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from .common import cut, drop, load, mix, shards_of, span_hash, text_column, wor
 GRAM, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 BANDS, ROWS, STEP = 28, 4, 16
 VALUES = BANDS * ROWS
-BLOCK, BINS = 256, 8
+BLOCK, BLOCK_BYTES, BINS = 1024, 4 << 20, 8
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, VALUES, dtype=np.uint64)
@@ -114,6 +116,16 @@ def survivors(sig: np.ndarray, a: np.ndarray, b: np.ndarray, fewest: dict[int, i
     return on
 
 
+def first_shared(sig: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Which pairs share this band of a and none before it."""
+    bands = sig.view(np.uint64)
+    on = np.flatnonzero(bands[a, band[a]] == bands[b, band[a]])
+    for k in range(int(band.max(initial=0))):
+        at = a[on]
+        on = on[(band[at] <= k) | (bands[at, k] != bands[b[on], k])]
+    return on
+
+
 def connected(edges: DataFrame, name: str = "edges") -> DataFrame:
     """(node, label): nodes of edges (a, b) other than the smallest of each component, and that smallest.
 
@@ -140,13 +152,16 @@ def connected(edges: DataFrame, name: str = "edges") -> DataFrame:
         e = rest.union(lower.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _tasks(rows: DataFrame, key: str, size: str, bins: int, block: int) -> DataFrame:
-    """rows with bin, i, j and side: a group of `size` rows in blocks, a task for each pair of blocks."""
-    count = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("node", key), count).cast("int")
-    rows = rows.withColumns({"\u0001own": own, "\u0001other": F.explode(F.sequence(F.lit(0), count - 1))})
+def _tasks(rows: DataFrame, key: str, blocks: str) -> DataFrame:
+    """rows with i, j and side: a group in so many blocks, a task for each pair of blocks."""
+    own = F.pmod(F.xxhash64("node", key), F.col(blocks)).cast("int")
+    rows = rows.withColumns({"\u0001own": own, "\u0001other": F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))})
     rows = rows.withColumns({"i": F.least("\u0001own", "\u0001other"), "j": F.greatest("\u0001own", "\u0001other"), "side": F.col("\u0001own") > F.col("\u0001other")})
-    return rows.withColumn("bin", F.pmod(F.xxhash64(key, "i", "j"), F.lit(bins)).cast("int")).drop("\u0001own", "\u0001other", size)
+    return rows.drop("\u0001own", "\u0001other", blocks)
+
+
+def _binned(rows: DataFrame, key: str, bins: int) -> DataFrame:
+    return rows.withColumn("bin", F.pmod(F.xxhash64(key, "i", "j"), F.lit(bins)).cast("int"))
 
 
 def _groups(rows: pa.Table, key: str):
@@ -160,7 +175,7 @@ def _groups(rows: pa.Table, key: str):
 
 
 def classes_of(docs: DataFrame, id_col: str, text_col: str, gram: int) -> DataFrame:
-    """(id, tie, node, sig) of each document; node and sig are null for texts without words; tie: hash of the text."""
+    """(id, tie, node, sig, bytes) of each document; node and sig are null for texts without words; tie: hash of the text."""
     text = F.col(f"`{text_col}`").cast("string")
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
@@ -180,15 +195,15 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, gram: int) -> DataFr
                 rows = signatures(grams, at[np.append(has, True)]) if has.any() else np.zeros((0, VALUES), np.uint16)
                 sig = iter(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(node, pa.int64(), mask=~has), pa.array([next(sig).tobytes() if h else None for h in has], pa.binary())],
-                    names=["id", "tie", "node", "sig"],
+                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(node, pa.int64(), mask=~has), pa.array([next(sig).tobytes() if h else None for h in has], pa.binary()), pa.array(np.diff(o), pa.int64())],
+                    names=["id", "tie", "node", "sig", "bytes"],
                 )
                 a = b
 
-    return source.mapInArrow(sign, "id long, tie long, node long, sig binary")
+    return source.mapInArrow(sign, "id long, tie long, node long, sig binary, bytes long")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """(id_col, tie, node, group, class_id, n_links): one row for each of docs'.
 
     tie: xxhash64 of the text. node: the document's word sequence, as a hash. group: the smallest node of the documents
@@ -196,66 +211,69 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gra
     copies included.
     """
     spark = docs.sparkSession
-    bins = BINS * shards_of(spark)
+    shards = shards_of(spark)
     signed = cut(classes_of(docs, id_col, text_col, gram), "jaccard-signed")
     member = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
     classes = signed.filter("node is not null").groupBy("node")
-    classes = cut(classes.agg(F.min(member).alias("one"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "jaccard-classes")
+    classes = classes.agg(F.min(member).alias("one"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.max("bytes").alias("bytes"))
+    classes = cut(classes, "jaccard-classes")
 
-    # bands that at least two classes have
+    # bands that at least two classes have, in blocks of classes and of text
     band = lambda k: F.xxhash64(F.lit(k), F.substring("sig", 1 + 2 * ROWS * k, 2 * ROWS))
-    bands = classes.select("node", F.explode(F.array(*map(band, range(BANDS)))).alias("key"))
-    shared = cut(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-bands")
-    met = _tasks(bands.join(shared, "key"), "key", "n", bins, BLOCK)
-    met = met.join(classes.select("node", "sig"), "node").select("bin", "key", "i", "j", "side", "node", "sig")
+    bands = classes.select("node", "bytes", F.posexplode(F.array(*map(band, range(BANDS)))).alias("band", "key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("all")).filter("n > 1")
+    blocks = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all") / BLOCK_BYTES))).cast("int")
+    shared = cut(shared.select("key", "n", blocks.alias("blocks")), "jaccard-bands")
+    met = _tasks(bands.join(shared.select("key", "blocks"), "key"), "key", "blocks")
+    rows = shared.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    met = _binned(met, "key", max(BINS * shards, rows >> 14))
+    met = met.join(classes.select("node", "sig"), "node").select("bin", "key", "band", "i", "j", "side", "node", "bytes", "sig")
     fewest = fewest_matches(threshold, tolerance)
 
-    def compare(rows: pa.Table) -> pa.Table:
-        order, sizes, two, side = _groups(rows, "key")
-        node = np.asarray(rows.column("node"))[order]
+    def remaining(rows: pa.Table, two, side, order, sizes):
+        """Portions of the pairs that a bin's tasks have left, as indexes into order."""
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)[order]
-        left, right = [], []
+        of = np.asarray(rows.column("band"))[order]
         for a, b in _pairs(sizes):
             keep = ~two[a] | (side[a] != side[b])
             a, b = a[keep], b[keep]
+            on = first_shared(sig, a, b, of)
+            a, b = a[on], b[on]
             on = survivors(sig, a, b, fewest)
-            left.append(a[on])
-            right.append(b[on])
-        return _forest(node, left, right)
-
-    edges = met.groupBy("bin").applyInArrow(compare, "a long, b long")
-    found = connected(edges, "jaccard-candidates")
-    group = found.union(found.select(F.col("label").alias("node"), "label").distinct())
-    group_of = cut(group, "jaccard-groups")
-    size = cut(group_of.groupBy("label").agg(F.count("*").alias("n")), "jaccard-sizes")  # a plain join, which can be split
-    group = group_of.join(size, "label").join(classes.select("node", "copies", "one.id", "one.tie"), "node")
-
-    # texts of the groups' classes, one of each
+            yield a[on], b[on]
+
+    def prune(rows: pa.Table) -> pa.Table:
+        order, sizes, two, side = _groups(rows, "key")
+        left = np.zeros(len(order), bool)
+        for a, b in remaining(rows, two, side, order, sizes):
+            left[a] = left[b] = True
+        return rows.drop_columns(["bin", "sig"]).take(pa.array(order[left]))
+
+    members = "key long, band int, i int, j int, side boolean, node long, bytes long"
+    left = cut(met.groupBy("bin").applyInArrow(prune, members), "jaccard-left")
+    size = left.agg(F.sum("bytes")).first()[0] or 0
+
+    # texts of the classes that have pairs left, one of each
     text = F.col(f"`{text_col}`").cast("string")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id2"), F.xxhash64(text).alias("tie2"), text.alias("text"))
-    with_text = group.join(texts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tie") == F.col("tie2")))
-    with_text = with_text.select("label", "n", "node", "copies", "text").dropDuplicates(["node"])  # ids may repeat
-    verify = _tasks(with_text, "label", "n", bins, BLOCK // 2)
+    some = classes.join(left.select("node").distinct(), "node").select("node", "copies", "sig", "one.id", "one.tie")
+    with_text = some.join(texts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tie") == F.col("tie2")))
+    with_text = with_text.select("node", "copies", "sig", "text").dropDuplicates(["node"])  # ids may repeat
+    verify = _binned(left.drop("bytes"), "key", max(BINS * shards, size // (2 * BLOCK_BYTES))).join(with_text, "node")
 
     def exact(rows: pa.Table) -> pa.Table:
-        order, sizes, two, side = _groups(rows, "label")
+        order, sizes, two, side = _groups(rows, "key")
         node, copies = np.asarray(rows.column("node"))[order], np.asarray(rows.column("copies"))[order]
-        column = rows.column("text").combine_chunks().take(pa.array(order))
-        links = np.zeros(len(node), np.int64)
-        left, right = [], []
-        at = 0
-        for n in sizes:
-            part = slice(at, at + int(n))
-            a, b = _similar(column.slice(at, int(n)), gram, threshold)
-            a, b = a + at, b + at
-            keep = ~two[a] | (side[a] != side[b])
-            a, b = a[keep], b[keep]
+        grams, at = gram_sets(rows.column("text").combine_chunks().take(pa.array(order)), gram)
+        links, a_, b_ = np.zeros(len(node), np.int64), [], []
+        for a, b in remaining(rows, two, side, order, sizes):
+            on = similar(grams, at, a, b, threshold)
+            a, b = a[on], b[on]
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
-            left.append(a)
-            right.append(b)
-            at = part.stop
-        forest = _forest(node, left, right)
+            a_.append(a)
+            b_.append(b)
+        forest = _forest(node, a_, b_)
         some = np.flatnonzero(links)
         return pa.table(
             {
@@ -273,7 +291,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gra
     labelled = cut(info, "jaccard-info")
     named = labelled.groupBy("label").agg(F.min("id").alias("class_id"))
     info = cut(labelled.join(named, "label").select("node", F.col("label").alias("group"), "class_id", "n_links"), "jaccard-info")
-    drop(classes, shared, found, group_of, size, verified, label, labelled)
+    drop(classes, shared, left, verified, label, labelled)
     out = signed.select("id", "tie", "node").join(info, "node", "left")
     return out.select(
         F.col("id").alias(id_col),
@@ -295,32 +313,39 @@ def _forest(node: np.ndarray, left: list, right: list) -> pa.Table:
     return pa.table({"a": pa.array(own[at], pa.int64()), "b": pa.array(own[label[at]], pa.int64())})
 
 
-def _similar(column, gram: int, threshold: float, wide: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of texts whose n-gram sets have at least the threshold's Jaccard similarity."""
+def gram_sets(column, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' distinct n-grams as numbers, and where each text's begin."""
     data, off = text_column(column)
     s, e = word_bounds(data, off)
     grams, at = shingles(word_hashes(data, s, e), np.searchsorted(s, off), gram)
     n = len(at) - 1
     own, code = np.unique(grams, return_inverse=True)
     key = np.unique(np.repeat(np.arange(n), np.diff(at)) * len(own) + code)  # each gram of a text once
-    text, code = key // len(own), key % len(own)
-    size = np.bincount(text, minlength=n)
-    common = np.zeros((n, n), np.float64)
-    if n == 2:
-        common[0, 1] = len(key) - len(own)
-    else:
-        by = np.argsort(code, kind="stable")
-        text, code = text[by], code[by]
-        for a in range(0, len(own), wide):
-            lo, hi = np.searchsorted(code, (a, a + wide))
-            has = np.zeros((n, min(wide, len(own) - a)), np.float32)
-            has[text[lo:hi], code[lo:hi] - a] = 1
-            common += has @ has.T
-    a, b = np.triu_indices(n, 1)
-    both = common[a, b]
+    return key % max(1, len(own)), np.searchsorted(key, np.arange(n + 1) * len(own))
+
+
+def similar(grams: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, most: int = 1 << 20) -> np.ndarray:
+    """Which pairs of texts have n-gram sets of at least the threshold's Jaccard similarity."""
+    size = np.diff(at)
+    both = np.zeros(len(a), np.int64)
+    has = np.zeros(int(grams.max(initial=0)) + 1, bool)
+    order = np.argsort(a, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(a) else ():
+        own = grams[at[a[part[0]]] : at[a[part[0]] + 1]]
+        has[own] = True
+        done = np.cumsum(size[b[part]])
+        i = 0
+        while i < len(part):  # the others' grams, in portions
+            j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + most, "right")))
+            other = b[part[i:j]]
+            n = size[other]
+            first = np.cumsum(n) - n
+            hit = has[grams[np.repeat(at[other] - first, n) + np.arange(n.sum())]]
+            both[part[i:j]] = np.add.reduceat(hit, first, dtype=np.int64)
+            i = j
+        has[own] = False
     # similarity >= threshold, without rounding of the quotient
-    keep = both >= threshold * (size[a] + size[b] - both) - 1e-9
-    return a[keep], b[keep]
+    return np.flatnonzero(both >= threshold * (size[a] + size[b] - both) - 1e-9)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,11 +56,10 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("block", [256, 4])
-def test_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(J, "BLOCK", block)
+def test_equals_brute_force(spark, block):
     rows = corpus(block)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int")
-    assert result(J.join(docs.repartition(3))) == brute(rows)
+    assert result(J.join(docs.repartition(3), block=block)) == brute(rows)
     if block == 4:
         assert J.join(docs.limit(0)).count() == 0
 
@@ -94,3 +93,38 @@ def test_minhash_estimates_similarity():
     grams = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     sig = J.signatures(np.concatenate([grams[:300], grams[100:]]), np.array([0, 300, 600]))
     assert abs((sig[0] == sig[1]).mean() - 0.5) < 0.17
+
+
+def test_each_pair_is_verified_once_and_only_if_it_is_left():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 6, (30, J.VALUES), dtype=np.uint16)
+    sig = base[rng.integers(0, 30, 90)]
+    sig[rng.random(sig.shape) < 0.2] = 9
+    bands = sig.view(np.uint64)
+    seen = []
+    for band in range(J.BANDS):
+        a, b = np.triu_indices(90, 1)
+        same = bands[a, band] == bands[b, band]
+        a, b = a[same], b[same]
+        on = J.first_shared(sig, a, b, np.full(90, band))
+        seen += list(zip(a[on].tolist(), b[on].tolist(), strict=True))
+    a, b = np.triu_indices(90, 1)
+    meet = (bands[a] == bands[b]).any(axis=1)
+    assert len(seen) == len(set(seen)) and set(seen) == set(zip(a[meet].tolist(), b[meet].tolist(), strict=True))
+    left = J.survivors(sig, a, b, J.fewest_matches())
+    same = (sig[a] == sig[b]).sum(axis=1)
+    assert set(np.flatnonzero(same >= 90)) <= set(left) and len(left) < meet.sum()
+
+
+def test_similar_equals_sets():
+    rng = np.random.default_rng(6)
+    sets = [set(rng.choice(40, rng.integers(1, 30), replace=False).tolist()) for _ in range(40)]
+    sets += [set(list(s)[:-1]) or s for s in sets]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    grams = np.concatenate([sorted(s) for s in sets])
+    a, b = np.triu_indices(len(sets), 1)
+    order = rng.permutation(len(a))
+    a, b = a[order], b[order]
+    for most in (7, 1 << 20):
+        got = J.similar(grams, at, a, b, 0.8, most)
+        assert got.tolist() == [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])]
