@@ -21,21 +21,28 @@ def human_bytes(size: Column) -> Column:
 
 def parse_rate(text: Column) -> Column:
     """Bytes of `500`, `500K`, `10M`, `1.5GiB` (powers of 1024), null if it isn't a positive rate."""
-    pattern = r"(?i)^\s*(\d+(?:\.\d+)?)\s*([KMGT]?)(?:i?B)?\s*$"
-    number = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("double")
-    power = F.instr(F.lit("KMGT"), F.upper(F.regexp_extract(text, pattern, 2)))
-    power = F.when(F.regexp_extract(text, pattern, 2) == "", 0).otherwise(power)
-    value = F.floor(number * F.pow(F.lit(1024.0), power)).cast("long")
-    return F.when(value > 0, value)
-
-
-def eta(done: Column, total: Column, speed: Column) -> Column:
-    """`m:ss` or `h:mm:ss` until the rest is done at this speed; `--:--` if it has none."""
+    plain = F.upper(F.trim(text, F.lit(" \t\n\r\f\x0b")))
+    digits = F.length(F.regexp_extract(plain, "^[0-9.]*", 0))
+    number, unit = F.substr(plain, F.lit(1), digits), F.ltrim(F.substr(plain, digits + 1), F.lit(" \t\n\r\f\x0b"))
+    names = {letter + end: 1024.0**k for k, letter in enumerate(("", "K", "M", "G", "T")) for end in ("", "B", "IB")}
+    scale = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), unit)
+    whole = ~(number.startswith(".") | number.endswith("."))
+    value = F.floor(number.try_cast("double") * scale).cast("long")
+    return F.when(whole & (value > 0), value)
+
+
+def eta(done: Column, total: Column, speed: Column, complete: Column | None = None) -> Column:
+    """`mm:ss` or `hh:mm:ss` until the rest is done at this speed; `--:--` if it has none, or the total isn't known.
+
+    complete: nothing more will come; then nothing of an unknown total is left.
+    """
+    complete = F.lit(False) if complete is None else complete
     s = F.ceil((total - done) / speed).cast("long")
-    clock = F.format_string("%02d", F.pmod(s, F.lit(60)))
-    minutes, hours = F.floor(F.pmod(s, F.lit(3600)) / 60), F.floor(s / 3600)
-    text = F.when(hours > 0, F.concat(hours.cast("string"), F.lit(":"), F.format_string("%02d", minutes), F.lit(":"), clock)).otherwise(F.concat(minutes.cast("string"), F.lit(":"), clock))
-    return F.when(done >= total, "0:00").when(speed > 0, text).otherwise("--:--")
+    two = lambda n: F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
+    hours = F.floor(s / 3600)
+    parts = F.array(F.when(hours > 0, two(hours)), two(F.floor(F.pmod(s, F.lit(3600)) / 60)), two(F.pmod(s, F.lit(60))))
+    none_left = F.when(total > 0, done >= total).otherwise(complete)
+    return F.when(none_left, "00:00").when(~complete & (total > 0) & (speed > 0), F.array_join(parts, ":")).otherwise("--:--")
 
 
 def plain_path(path: Column) -> Column:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import FormatError
+
 
 def present(text: Column) -> Column:
     """Trimmed text; null and empty both mean missing."""
@@ -33,27 +37,46 @@ def normal_version(code: Column) -> Column:
 def android_version(text: Column) -> Column:
     """Text in parentheses, else text that starts with android, else `Android N` of a number, else empty."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    inner = F.regexp_extract(t, r"\(([^()]*)\)", 1)
-    return F.when(inner != "", F.trim(inner)).when(F.lower(t).startswith("android"), t).when(t.rlike(r"^\d+$"), F.concat(F.lit("Android "), t)).otherwise("")
+    inner = F.regexp_extract(t, r"\(([^)]*)\)", 1)
+    return F.when(F.trim(inner) != "", F.trim(inner)).when(F.lower(t).startswith("android"), t).when(t.rlike(r"^\d+$"), F.concat(F.lit("Android "), t)).otherwise("")
+
+
+def _release_fields(xml: str | None) -> list[list[tuple[str, list[str]]]]:
+    """For each BINARY_INFO element its children's tags with their texts, each once: of the first Data child, else all of the
+    child's own."""
+    if not (xml or "").strip():
+        return []
+    try:
+        root = ElementTree.fromstring(xml)
+    except ElementTree.ParseError as e:
+        raise FormatError(f"history is not well-formed XML: {e}") from e
+    found = []
+    for info in root.iter("BINARY_INFO"):
+        fields: dict[str, dict[str, None]] = {}
+        for child in info:
+            own = child.findtext("Data") or "".join(child.itertext())
+            fields.setdefault(child.tag, {})[own.strip()] = None
+        found.append([(tag, list(texts)) for tag, texts in fields.items()])
+    return found
 
 
 def release_rows(history: DataFrame, xml_col: str) -> DataFrame:
     """One row for each BINARY_INFO element of XML documents: fields map<string, array<string>> with each tag's distinct
-    values in order, of its Data children or its own text. Rows without a version are left out."""
-    xml = F.col(xml_col)
-    infos = F.regexp_extract_all(xml, F.lit(r"(?s)(<BINARY_INFO>.*?</BINARY_INFO>)"), 1)
-    rows = history.select("*", F.posexplode(infos).alias("position", "\u0001info"))
-    body = F.regexp_extract("\u0001info", r"(?s)<BINARY_INFO>(.*)</BINARY_INFO>", 1)
-    fields = F.regexp_extract_all(body, F.lit(r"(?s)(<([A-Za-z_][\w.-]*)>.*?</\2>)"), 1)
-    text = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), "&lt;", "<"), "&gt;", ">"), "&amp;", "&")
-    data = lambda f: F.regexp_extract_all(f, F.lit(r"(?s)<Data>(.*?)</Data>"), 1)
-    values = lambda f: F.filter(F.transform(F.when(F.size(data(f)) > 0, data(f)).otherwise(F.array(f)), lambda v: F.trim(text(v))), lambda v: v != "")
-    pairs = F.transform(fields, lambda f: F.struct(F.regexp_extract(f, r"^<([A-Za-z_][\w.-]*)>", 1).alias("tag"), values(f).alias("values")))
-    tags = F.array_distinct(F.transform("\u0001pairs", lambda p: p["tag"]))
-    merged = F.transform(tags, lambda t: F.struct(t.alias("key"), F.array_distinct(F.flatten(F.transform(F.filter("\u0001pairs", lambda p: p["tag"] == t), lambda p: p["values"]))).alias("value")))
-    rows = rows.withColumn("\u0001pairs", pairs).withColumn("fields", F.map_from_entries(merged))
+    values in order, of its first Data child or its own text. Rows without a version are left out; XML that isn't
+    well-formed is an error; null and empty documents have no rows."""
+    rows = history.select("*", F.posexplode(_fields_udf()(F.col(xml_col))).alias("position", "\u0001pairs")).withColumn("fields", F.map_from_entries("\u0001pairs"))
     rows = rows.withColumn("version", field(F.col("fields"), "BINARY_SW_VERSION"))
-    return rows.filter(F.col("version").isNotNull()).drop("\u0001info", "\u0001pairs")
+    return rows.filter(F.col("version").isNotNull()).drop("\u0001pairs")
+
+
+def _fields_udf():
+    @F.arrow_udf("array<array<struct<key:string,value:array<string>>>>")
+    def parse(xml: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.list_(pa.struct([("key", pa.string()), ("value", pa.list_(pa.string()))])))
+        rows = [[[{"key": k, "value": v} for k, v in info] for info in _release_fields(x)] for x in xml.to_pylist()]
+        return pa.array(rows, kind)
+
+    return parse
 
 
 def field(fields: Column, *tags: str) -> Column:
@@ -66,6 +89,21 @@ def sequence_value(sequence: Column) -> Column:
     return F.coalesce(F.trim(sequence).try_cast("long"), F.lit(-1).cast("long"))
 
 
+def merge_history(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, version, idx, seq, fields, natures, open_date): rows as from release_rows that are alike in version, index and
+    sequence as one, with the union of their fields' values in order, their natures, sorted, and the latest open date."""
+    f = F.col("fields")
+    named = {"idx": field(f, "BINARY_INDEX"), "seq": field(f, "BINARY_SEQUENCE"), "\u0001open": F.coalesce(field(f, "BINARY_OPEN_DATE"), F.lit(""))}
+    rows = rows.withColumns(named)
+    alike = [*keys, "version", "idx", "seq"]
+    flat = rows.select(*alike, "position", "\u0001open", F.explode("fields").alias("tag", "values"))
+    one = F.array_sort(F.collect_list(F.struct("position", "values")))
+    tags = flat.groupBy(*alike, "tag").agg(F.array_distinct(F.flatten(one["values"])).alias("values"), F.max("\u0001open").alias("open_date"))
+    out = tags.groupBy(*alike).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "values")))).alias("fields"), F.max("open_date").alias("open_date"))
+    natures = F.coalesce(F.try_element_at("fields", F.lit("BINARY_NATURE")), F.array().cast("array<string>"))
+    return out.withColumn("natures", F.array_sort(F.filter(natures, lambda v: v != "")))
+
+
 def merge_rows(rows: DataFrame, keys: Sequence[str], values: str, date: str) -> DataFrame:
     """One row a key: the set of its values, sorted, its latest date, and how many rows it had."""
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_set(values)).alias("merged"), F.max(date).alias("latest"), F.count("*").alias("n_rows"))

@@ -144,9 +144,13 @@ def even_parts(total: Column, parts: int, align: int = 16) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1), make)
 
 
-def gaps(rows: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str] = ()) -> DataFrame:
-    """(keys, gap_start, gap_end): what lies between the intervals, up to the last one's start."""
-    last = F.max(end).over(_before(keys, [start, end, *order]))
+def gaps(rows: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str] = (), *, size: str | None = None) -> DataFrame:
+    """(keys, gap_start, gap_end): what the intervals leave of each key's space, from 0 up to column size (one value a key),
+    or up to the last interval's start if there is none."""
+    if size is not None:  # an empty interval at the end
+        edge = rows.groupBy(*keys).agg(F.max(size).alias(start)).withColumn(end, F.col(start))
+        rows = rows.select(*keys, start, end, *order).unionByName(edge, allowMissingColumns=True)
+    last = F.coalesce(F.max(end).over(_before(keys, [start, end, *order])), F.lit(0))
     return rows.withColumn("gap_start", last).filter(F.col("gap_start") < F.col(start)).select(*keys, "gap_start", F.col(start).alias("gap_end"))
 
 

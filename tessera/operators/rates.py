@@ -39,13 +39,16 @@ def sliding_rate(samples: DataFrame, keys: Sequence[str], at: str, done: str, *,
 
 
 def next_size(samples: DataFrame, keys: Sequence[str], order: Sequence[str], rate: str, workers: int) -> DataFrame:
-    """samples with size: bytes of the next request, from the 2 * workers rates before. Without any 16 MiB; one second's
-    worth of the slowest if that is under half the fastest, else of the median; in whole MiB from 1 to 16."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-2 * workers, -1)
-    low, high, mid = F.min(rate).over(w), F.max(rate).over(w), F.expr(f"percentile({rate}, 0.5)").over(w)
-    picked = F.when(low * 2 < high, low).otherwise(mid)
+    """samples with size: bytes of the next request. The first is 4 MiB; then, from the 2 * workers rates before (null: none
+    was seen), 16 MiB without any, else one second's worth of the slowest if that is under half the fastest, or of the
+    median; whole bytes, up to whole MiB, from 1 to 16."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    few = w.rowsBetween(-2 * workers, -1)
+    low, high, mid = F.min(rate).over(few), F.max(rate).over(few), F.expr(f"percentile({rate}, 0.5)").over(few)
+    picked = F.floor(F.when(low * 2 < high, low).otherwise(mid))
     size = F.least(F.lit(16 * MIB), F.greatest(F.lit(MIB), F.ceil(picked / MIB) * MIB))
-    return samples.withColumn("size", F.coalesce(size, F.lit(16 * MIB)).cast("long"))
+    first = F.row_number().over(w) == 1
+    return samples.withColumn("size", F.when(first, F.lit(4 * MIB)).otherwise(F.coalesce(size, F.lit(16 * MIB))).cast("long"))
 
 
 def limited(requests: DataFrame, keys: Sequence[str], order: Sequence[str], at: Column, cost: Column) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,45 +22,50 @@ def conflicts(sources: DataFrame, targets: DataFrame, key: list[str], width: int
 def order(operations: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, position, op, save): an order in which every reader comes before those that overwrite what it reads.
 
-    operations: (key, op, cost), edges: (key, reader, writer). Of those that may run, the smallest number is next. In a
-    cycle the cheapest reader first saves its source (save is true), which frees its writers; it runs later.
+    operations: (key, op, cost), edges: (key, reader, writer). It is made in rounds: all operations that wait for no reader run,
+    by number. If all wait for one another, the cheapest of the readers that hold others up saves its source (save is
+    true), of equal ones that with the smallest number; it holds nobody up then, and runs later.
     """
     both = operations.select(key, F.col("op").alias("a"), F.lit(None).cast("long").alias("b"), "cost")
-    both = both.unionByName(edges.select(key, F.col("reader").alias("a"), F.col("writer").alias("b"), F.lit(None).cast("long").alias("cost")))
+    both = both.unionByName(edges.select(key, F.col("reader").alias("a"), F.col("writer").alias("b"), F.lit(None).cast("long").alias("cost")).distinct())
 
     def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("a", "b", "cost")), strict=True))
-        cost = {a: c for a, b, c in rows if b is None}
-        frees: dict[int, set[int]] = {a: set() for a in cost}
-        for a, b, _ in rows:
-            if b is not None:
-                frees[a].add(b)
-        waits = dict.fromkeys(cost, 0)
-        for writers in frees.values():
-            for w in writers:
-                waits[w] += 1
-        ready = sorted(a for a, n in waits.items() if not n)
-        savers = sorted((cost[a], a) for a, w in frees.items() if w)
-        out, freed = [], set()
-        left = len(cost)
-        while left:
-            if ready:
-                op, save = heapq.heappop(ready), False
-                left -= 1
-            else:
-                op = next((a for _, a in savers if a not in freed), None)
-                if op is None:
-                    raise FormatError("operations can't be ordered")
-                save = True
-            out.append((op, save))
-            if op not in freed:
-                freed.add(op)
-                for w in frees[op]:
-                    waits[w] -= 1
-                    if not waits[w]:
-                        heapq.heappush(ready, w)
+        own = np.asarray(pc.is_null(table.column("b")))
+        a, b = np.asarray(table.column("a")), np.asarray(pc.fill_null(table.column("b"), 0))
+        op, cost = a[own], np.asarray(table.column("cost").filter(pa.array(own)))
+        by = np.argsort(op)
+        op, cost = op[by], cost[by]
+        position, saved = _rounds(np.searchsorted(op, a[~own]), np.searchsorted(op, b[~own]), cost)
         name = table.column(key)[0].as_py()
-        return pa.table({key: pa.array([name] * len(out), table.schema.field(key).type), "position": pa.array(range(len(out)), pa.int64()), "op": pa.array([o for o, _ in out], pa.int64()), "save": pa.array([s for _, s in out])})
+        return pa.table({key: pa.array([name] * len(position), table.schema.field(key).type), "position": pa.array(range(len(position)), pa.int64()), "op": pa.array(op[position], pa.int64()), "save": pa.array(saved)})
 
     kind = operations.schema[key].dataType.simpleString()
     return both.groupBy(key).applyInArrow(run, f"{key} {kind}, position long, op long, save boolean")
+
+
+def _rounds(reader: np.ndarray, writer: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Operations in order, and which of these places are saves. Edges are ordered by reader once, so that a round takes the
+    edges of those that ran, or saved, as slices."""
+    n = len(cost)
+    by = np.argsort(reader, kind="stable")
+    writer, edge = writer[by], np.searchsorted(reader[by], np.arange(n + 1))
+    waits, holds = np.bincount(writer, minlength=n), np.diff(edge) > 0
+    dear = iter(np.lexsort((np.arange(n), cost)).tolist())
+    order, saved = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    now, left = np.flatnonzero(waits == 0), n
+    while left:
+        save = not len(now)
+        if save:
+            now = np.array([next((i for i in dear if holds[i]), -1)])
+            if now[0] < 0:
+                raise FormatError("operations can't be ordered")
+        else:
+            left -= len(now)
+        order.append(now)
+        saved.append(np.full(len(now), save))
+        let = now[holds[now]]
+        holds[let] = False
+        held = np.concatenate([np.zeros(0, np.int64), *(writer[edge[i] : edge[i + 1]] for i in let)])
+        np.subtract.at(waits, held, 1)
+        now = np.unique(held[waits[held] == 0])
+    return np.concatenate(order), np.concatenate(saved)

@@ -37,37 +37,50 @@ def split_selectors(values: list[str]) -> list[str]:
 
 
 def matches(name: Column, selector: str) -> Column:
-    """Whether a name, or its last path part, is selected: case-folded, as a glob if it has a wildcard, else exactly or
-    as a prefix before an underscore."""
-    low, base, want = F.lower(name), F.lower(F.regexp_extract(name, "([^/]*)$", 1)), selector.lower()
+    """Whether an entry is selected, case-folded and with backslashes as slashes: its name or its last part is the selector;
+    else, if this has a wildcard, one of them fits it as a glob; else one of them begins with it and an underscore."""
+    low, want = F.replace(F.lower(name), F.lit("\\"), F.lit("/")), selector.strip().lower().replace("\\", "/")
+    forms = (low, F.regexp_extract(low, "([^/]*)/*$", 1))
     if GLOB.search(want):
-        return low.rlike(glob_regex(want)) | base.rlike(glob_regex(want))
-    return (low == want) | (base == want) | base.startswith(want + "_")
+        tests = [(f == want) | f.rlike(glob_regex(want)) for f in forms]
+    else:
+        tests = [(f == want) | f.startswith(want + "_") for f in forms]
+    return tests[0] | tests[1]
 
 
-def select(entries: DataFrame, name: str, selectors: list[str]) -> DataFrame:
+def matches_target(name: Column, selector: str) -> Column:
+    """Whether a partition or file of an update is selected: its name, or that without its suffix, fits the glob."""
+    glob, low = glob_regex(selector.strip().lower()), F.lower(name)
+    return low.rlike(glob) | F.regexp_replace(low, r"(?<=.)\.[^.]+$", "").rlike(glob)
+
+
+def select(entries: DataFrame, name: str, selectors: list[str], fits=matches) -> DataFrame:
     """entries that any selector matches, with the first one's position as `selector`; selectors are a short list of
-    arguments, so they are tested in one pass and not joined."""
+    arguments, so they are tested in one pass and not joined. Without selectors nothing is selected."""
     order = split_selectors(selectors)
-    first = F.coalesce(*[F.when(matches(F.col(name), s), F.lit(i)) for i, s in enumerate(order)], F.lit(None).cast("int"))
+    first = F.coalesce(*[F.when(fits(F.col(name), s), F.lit(i)) for i, s in enumerate(order)], F.lit(None).cast("int"))
     return entries.withColumn("selector", first).filter(F.col("selector").isNotNull())
 
 
-def unmatched(entries: DataFrame, name: str, selectors: list[str]) -> DataFrame:
+def unmatched(entries: DataFrame, name: str, selectors: list[str], fits=matches) -> DataFrame:
     """(selector): those that match no entry."""
     spark, order = entries.sparkSession, split_selectors(selectors)
-    hits = entries.agg(*[F.coalesce(F.max(matches(F.col(name), s).cast("int")), F.lit(0)).alias(f"h{i}") for i, s in enumerate(order)])
+    if not order:
+        return spark.createDataFrame([], "selector string")
+    hits = entries.agg(*[F.coalesce(F.max(fits(F.col(name), s).cast("int")), F.lit(0)).alias(f"h{i}") for i, s in enumerate(order)])
     want = spark.createDataFrame([(i, s) for i, s in enumerate(order)], "i int, selector string")
     flags = hits.select(F.posexplode(F.array(*[F.col(f"h{i}") for i in range(len(order))])).alias("i", "hit"))
     return want.join(flags.filter("hit = 0"), "i").select("selector")
 
 
-def require_all(entries: DataFrame, name: str, selectors: list[str]) -> DataFrame:
-    """select(), after every selector is known to match something."""
-    missing = [r[0] for r in unmatched(entries, name, selectors).collect()]
+def require_all(entries: DataFrame, name: str, selectors: list[str], fits=matches) -> DataFrame:
+    """select(), after every selector is known to match something; it is an error if all are empty."""
+    if not split_selectors(selectors):
+        raise SelectionError("selectors are empty")
+    missing = [r[0] for r in unmatched(entries, name, selectors, fits).collect()]
     if missing:
         raise SelectionError("no entry matches: " + ", ".join(missing))
-    return select(entries, name, selectors)
+    return select(entries, name, selectors, fits)
 
 
 def with_slot(requested: DataFrame, available: DataFrame, name: str, size: str) -> DataFrame:

@@ -15,7 +15,8 @@ def _history(spark, sf_dir):
         F.lit("<BINARY_INFO><BINARY_SW_VERSION><Data>V"), "o_orderkey", F.lit("</Data></BINARY_SW_VERSION><BINARY_INDEX>"),
         F.when(F.col("o_orderkey") % 7 == 0, "90").otherwise(F.col("o_orderkey") % 3), F.lit("</BINARY_INDEX><BINARY_SEQUENCE> "),
         F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise((F.col("o_orderkey") % 11).cast("string")), F.lit(" </BINARY_SEQUENCE><BINARY_NATURE><Data>"), "o_orderpriority",
-        F.lit("</Data><Data>"), "o_orderstatus", F.lit("</Data><Data>"), "o_orderstatus", F.lit("</Data></BINARY_NATURE><OS_NAME>A &amp; B</OS_NAME></BINARY_INFO>"),
+        F.lit("</Data><Data>not read</Data></BINARY_NATURE><BINARY_NATURE>"), "o_orderstatus", F.lit("</BINARY_NATURE><BINARY_NATURE><Data>"), "o_orderstatus",
+        F.lit("</Data></BINARY_NATURE><OS_NAME a='1'>A &amp; <![CDATA[B]]></OS_NAME></BINARY_INFO>"),
     )
     docs = orders.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list(F.struct("o_orderkey", info.alias("x"))))["x"], "").alias("x"))
     empty = F.lit("<BINARY_INFO><BINARY_INDEX>1</BINARY_INDEX></BINARY_INFO>")
@@ -43,6 +44,24 @@ def latest_history_release(spark, sf_dir):
     return catalog.latest(rows, ["o_custkey"], "version", ["sequence", "position"], alternate=F.trim(catalog.field(f, "BINARY_INDEX")) == "90")
 
 
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, 'V' || o_orderkey % 3 AS version, (o_orderkey % 2)::VARCHAR AS idx, o_orderpriority AS nature, strftime(o_orderdate, '%Y%m%d') AS day FROM orders),
+f AS (SELECT o_custkey, version, idx, nature, min(o_orderkey) AS first FROM o GROUP BY 1, 2, 3, 4),
+g AS (SELECT o_custkey, version, idx, string_agg(nature, '|' ORDER BY first) AS given, string_agg(nature, '|' ORDER BY nature) AS natures FROM f GROUP BY 1, 2, 3)
+SELECT g.*, (SELECT max(day) FROM o WHERE o.o_custkey = g.o_custkey AND o.version = g.version AND o.idx = g.idx) AS open_date FROM g""")
+def history_merge(spark, sf_dir):
+    tag = lambda name, value: F.concat(F.lit(f"<{name}><Data>"), value, F.lit(f"</Data></{name}>"))
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyyMMdd")
+    info = F.concat(
+        F.lit("<BINARY_INFO>"), tag("BINARY_SW_VERSION", F.concat(F.lit("V"), k % 3)), tag("BINARY_INDEX", (k % 2).cast("string")),
+        tag("BINARY_NATURE", F.col("o_orderpriority")), tag("BINARY_OPEN_DATE", day), F.lit("</BINARY_INFO>"),
+    )
+    docs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list(F.struct("o_orderkey", info.alias("x"))))["x"], "").alias("x"))
+    rows = catalog.release_rows(docs.select("o_custkey", F.concat(F.lit("<LIST>"), "x", F.lit("</LIST>")).alias("xml")), "xml")
+    out = catalog.merge_history(rows, ["o_custkey"])
+    return out.select("o_custkey", "version", "idx", F.array_join(F.element_at("fields", "BINARY_NATURE"), "|").alias("given"), F.array_join("natures", "|").alias("natures"), "open_date")
+
+
 @query("""
 SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x ' || p_size WHEN 1 THEN 'Android ' || p_size WHEN 2 THEN 'Android ' || p_size ELSE '' END AS android
 FROM part""")
@@ -63,7 +82,7 @@ def ota_metadata_scan(spark, sf_dir):
         F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("AP_"), "source", F.lit(".tar.md5"))).otherwise("not an archive"), F.lit("\nno value"),
     )
     names = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("payload.bin"), F.lit("x"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("system.transfer.list"))).otherwise(F.array(F.lit("y")))
-    script = F.concat(F.lit('ui_print("Source QB:\\n B_'), "doc_id", F.lit('.tar \\nnot this/one.tar"); ui_print("other\\nC.tar");'))
+    script = F.concat(F.lit('ui_print( " [x] Source binary QB info:\\n B_'), "doc_id", F.lit('.tar \\nnot this/one.tar"); ui_print("other\\nC.tar"); ui_print("source binary QB information\\nD.tar");'))
     declared = F.when((F.col("doc_id") % 3 == 1) & (F.col("doc_id") % 2 == 0), "AB").otherwise("")
     p = F.col("props")
     rows = docs.select("doc_id", metadata.properties(raw).alias("props"), names.alias("names"), script.alias("script"), declared.alias("declared"))
@@ -168,8 +187,9 @@ def operation_order(spark, sf_dir):
 @query("""
 WITH x AS (SELECT o_orderkey, o_orderkey % 100 AS done, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_orderkey % 7 + 0.5 END AS speed, CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE 100000 END AS total FROM orders),
 s AS (SELECT *, ceil((total - done) / nullif(speed, 0))::BIGINT AS s FROM x)
-SELECT o_orderkey, CASE WHEN done >= total THEN '0:00' WHEN speed = 0 THEN '--:--' WHEN s >= 3600 THEN s // 3600 || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0')
-  ELSE s // 60 || ':' || lpad((s % 60)::VARCHAR, 2, '0') END AS eta FROM s""")
+SELECT o_orderkey, CASE WHEN total > 0 AND done >= total THEN '00:00' WHEN total = 0 OR speed = 0 THEN '--:--' ELSE
+  CASE WHEN s >= 3600 THEN lpad((s // 3600)::VARCHAR, greatest(2, length((s // 3600)::VARCHAR))::INT, '0') || ':' ELSE '' END
+  || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') END AS eta FROM s""")
 def eta_text(spark, sf_dir):
     k = F.col("o_orderkey")
     speed = F.when(k % 10 == 0, 0.0).otherwise(k % 7 + 0.5)

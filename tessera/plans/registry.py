@@ -225,9 +225,12 @@ def even_parts(spark, sf_dir):
 
 @query(_SPANS + """
 SELECT user_id, gap_start, s AS gap_end FROM (
-  SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap_start FROM i) WHERE gap_start < s""")
+  SELECT *, coalesce(max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap_start
+  FROM (SELECT user_id, s, e FROM i UNION ALL SELECT user_id, max(e) + 1000, max(e) + 1000 FROM i GROUP BY user_id)) WHERE gap_start < s""")
 def gap_complement(spark, sf_dir):
-    return ranges.gaps(_spans(spark, sf_dir), ["user_id"], "s", "e")
+    spans = _spans(spark, sf_dir)
+    sizes = spans.groupBy("user_id").agg((F.max("e") + 1000).alias("size"))
+    return ranges.gaps(spans.join(sizes, "user_id"), ["user_id"], "s", "e", size="size")
 
 
 @query("""
@@ -293,7 +296,7 @@ def sliding_rate(spark, sf_dir):
 @query("""
 WITH w AS (SELECT event_id, min(v) OVER k AS lo, max(v) OVER k AS hi, median(v) OVER k AS mid FROM (SELECT *, value * 50000 AS v FROM events)
   WINDOW k AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))
-SELECT event_id, coalesce(least(16777216, greatest(1048576, ceil((CASE WHEN lo * 2 < hi THEN lo ELSE mid END) / 1048576) * 1048576)), 16777216)::BIGINT AS size FROM w""")
+SELECT event_id, CASE WHEN lo IS NULL THEN 4194304 ELSE least(16777216, greatest(1048576, ceil(floor(CASE WHEN lo * 2 < hi THEN lo ELSE mid END) / 1048576) * 1048576)) END::BIGINT AS size FROM w""")
 def rolling_range_size(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("v", F.col("value") * 50000)
     return rates.next_size(rows, ["user_id"], ["ts", "event_id"], "v", 6).select("event_id", "size")

@@ -53,14 +53,14 @@ def base_images(listing: DataFrame, wanted: DataFrame, name: str = "partition")
 def plan(files: DataFrame, names: list[str] | None = None, done: DataFrame | None = None) -> DataFrame:
     """Checked operations of the archives' selected partitions that no completion record covers.
 
-    names: selectors of partitions, all if there are none. done: (ota, name, sha256, verified) records.
+    names: selectors of partitions, all if it is None. done: (ota, name, sha256, verified) records.
     """
     bad = inspect(files).filter("problem is not null").select("path", "problem").limit(3).collect()
     if bad:
         raise FormatError("; ".join(f"{r.path}: {r.problem}" for r in bad))
     ops = operations(files).cache()
-    if names:
-        chosen = selectors.require_all(ops.select("payload", "partition").distinct(), "partition", names)
+    if names is not None:
+        chosen = selectors.require_all(ops.select("payload", "partition").distinct(), "partition", names, selectors.matches_target)
         ops = ops.join(chosen.select("payload", "partition"), ["payload", "partition"], "left_semi")
     wrong = payload.violations(ops).limit(3).collect()
     if wrong:

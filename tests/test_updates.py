@@ -23,7 +23,7 @@ def archive(body, meta="ota-type=AB\npre-build-incremental=base1\nsource-ap-name
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("payload.bin", body)
         z.writestr(updates.METADATA, meta)
-        z.writestr(updates.SCRIPT, 'ui_print("Source QB\\nBL_1.tar");')
+        z.writestr(updates.SCRIPT, 'ui_print("source binary QB info\\nBL_1.tar");')
         for name in extra:
             z.writestr(name, b"")
     return bytearray(out.getvalue())
