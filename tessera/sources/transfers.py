@@ -1,15 +1,20 @@
-"""Block OTAs: transfer lists as tables, and the command machine that changes an image in order.
+"""Block OTAs: transfer lists as tables, and the block store that their commands change in order.
 
-Commands of one partition depend on one another (later ones read what earlier ones wrote), so a partition is one group of
-applyInArrow, its commands in order; partitions run in parallel.
+Each line becomes a Step by the grammar of its command, and is checked whole, before anything runs. Steps of one partition
+depend on one another (later ones read what earlier ones wrote), so a partition is one group of applyInArrow, its steps
+in order; partitions run in parallel. Blocks are rows of a numpy array, so that ranges are index arrays and a step is
+one gather and one scatter.
+
+A null text is an empty list, and is refused as such; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from itertools import pairwise
+import string
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,184 +24,209 @@ from .images import need
 from .patches import apply_patch
 
 BLOCK = 4096
-#: Fewest tokens of each command, and which of them is its target.
-TOKENS = {"new": 2, "zero": 2, "erase": 2, "move": 5, "bsdiff": 8, "imgdiff": 8, "stash": 3, "free": 2}
-TARGET = {"new": 1, "zero": 1, "erase": 1, "move": 2, "bsdiff": 5, "imgdiff": 5}
-_DIGEST = re.compile("[0-9a-fA-F]{40}")
-
-Ranges = tuple[tuple[int, int], ...]
+#: What follows each command. b: blocks, d: SHA-1, n: number, s: source.
+GRAMMAR = {"new": "b", "zero": "b", "erase": "b", "stash": "db", "free": "d", "move": "dbs", "bsdiff": "nnddbs", "imgdiff": "nnddbs"}
+_LABEL = set(string.ascii_letters + string.digits + "_-")
 
 
-def ranges(text: str) -> Ranges:
+def ranges(text: str) -> np.ndarray:
+    """The block numbers of a range set `n,a,b,...`, in its order."""
     try:
-        count, *numbers = map(int, text.split(","))
-    except ValueError as e:
+        numbers = np.array([int(x) for x in text.split(",")], np.int64)
+    except (ValueError, OverflowError) as e:
         raise FormatError(f"not a range set: {text}") from e
-    need(count == len(numbers) and count % 2 == 0, f"not a range set: {text}")
-    out = tuple(zip(numbers[::2], numbers[1::2], strict=True))
-    need(all(0 <= a < b for a, b in out) and all(x[1] <= y[0] for x, y in pairwise(sorted(out))), f"range set overlaps: {text}")
-    return out
-
-
-def size(of: Ranges) -> int:
-    return sum(b - a for a, b in of)
-
-
-def parse(name: str, text: str) -> list[tuple[int, str, list[str]]]:
-    """(seq, command, tokens) of a transfer list of version 3 or 4."""
-    need(re.fullmatch(r"[A-Za-z0-9_-]+", name), f"bad partition name {name!r}")
-    lines = [x.strip() for x in text.splitlines() if x.strip()]
-    need(len(lines) >= 4 and all(re.fullmatch(r"-?\d+", x) for x in lines[:4]), f"{name}: bad header")
-    need(int(lines[0]) in (3, 4) and int(lines[1]) > 0, f"{name}: version is not supported")
-    out = []
-    for seq, line in enumerate(lines[4:]):
-        tokens = line.split()
-        least = TOKENS.get(tokens[0])
-        exact = tokens[0] in ("new", "zero", "erase", "stash", "free")
-        need(least is None or len(tokens) == least or (len(tokens) > least and not exact), f"{name}: bad {tokens[0]}")
-        if tokens[0] in TARGET:
-            ranges(tokens[TARGET[tokens[0]]])
-        out.append((seq, tokens[0], tokens[1:]))
-    return out
+    low, high = numbers[1::2], numbers[2::2]
+    need(numbers[0] == len(numbers) - 1 and len(low) == len(high), f"not a range set: {text}")
+    need(bool(((low >= 0) & (low < high)).all()), f"range set is out of order: {text}")
+    by = np.argsort(low)
+    need(bool((high[by][:-1] <= low[by][1:]).all()), f"range set overlaps: {text}")
+    n = high - low
+    return np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
+@dataclass
+class Step:
+    """A command: what it writes, the part of the patch data, digests, and the pieces of its source: (a stash, or None for
+    the image; blocks of the image; places in the buffer)."""
+
+    command: str
+    target: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    numbers: list[int] = field(default_factory=list)
+    digests: list[str] = field(default_factory=list)
+    pieces: list[tuple[str | None, np.ndarray, np.ndarray]] = field(default_factory=list)
+    blocks: int = 0
+
+    def writes(self) -> bool:
+        return self.command not in ("stash", "free")
+
+
+def _source(step: Step, tokens: list[str]) -> None:
+    """`count ranges`, `count ranges places stash:places ...` or `count - stash:places ...`"""
+    need(len(tokens) > 1 and tokens[0].isdecimal(), "bad source")
+    step.blocks, stashes = int(tokens[0]), tokens[3:]
+    if tokens[1] == "-":
+        stashes = tokens[2:]
+    else:
+        from_ = ranges(tokens[1])
+        step.pieces.append((None, from_, ranges(tokens[2]) if len(tokens) > 2 else np.arange(len(from_))))
+    for token in stashes:
+        label, colon, places = token.partition(":")
+        need(colon == ":" and label, f"bad stash {token}")
+        step.pieces.append((label, np.zeros(0, np.int64), ranges(places)))
+    need(all(label is not None or len(a) == len(b) for label, a, b in step.pieces), "a piece of the source has two sizes")
+    places = np.sort(np.concatenate([np.zeros(0, np.int64), *(p[2] for p in step.pieces)]))
+    need(len(places) == step.blocks and bool((places == np.arange(step.blocks)).all()), "pieces don't make up the source")
+
+
+def step_of(tokens: list[str]) -> Step:
+    command, rest = tokens[0], list(tokens[1:])
+    need(command in GRAMMAR, f"command {command} is not known")
+    step = Step(command)
+    for kind in GRAMMAR[command]:
+        need(rest, f"{command} is cut short")
+        if kind == "s":
+            _source(step, rest)
+            rest = []
+            continue
+        token = rest.pop(0)
+        if kind == "b":
+            step.target = ranges(token)
+        elif kind == "d":
+            need(len(token) == 40 and set(token) <= set(string.hexdigits) or command == "free", f"bad digest {token}")
+            step.digests.append(token.lower())
+        else:
+            need(token.isdecimal(), f"bad number {token}")
+            step.numbers.append(int(token))
+    need(not rest, f"{command} has too many words")
+    need(command != "move" or step.blocks == len(step.target), "move has two sizes")
+    return step
+
+
+def parse(name: str, text: str | None) -> list[tuple[int, str, list[str]]]:
+    """(seq, command, tokens) of a transfer list of version 3 or 4, each checked."""
+    need(name and set(name) <= _LABEL, f"bad partition name {name!r}")
+    lines = [x.split() for x in (text or "").splitlines() if x.strip()]
+    head = [x[0] for x in lines[:4] if len(x) == 1 and x[0].removeprefix("-").isdecimal()]
+    need(len(head) == 4, f"{name}: bad header")
+    need(head[0] in ("3", "4") and int(head[1]) > 0, f"{name}: version is not supported")
+    for tokens in lines[4:]:
+        step_of(tokens)
+    return [(seq, tokens[0], tokens[1:]) for seq, tokens in enumerate(lines[4:])]
 
 
 def commands(lists: DataFrame, name: str = "partition", text: str = "text") -> DataFrame:
     """(partition, seq, command, tokens, target_end): the lists' commands; target_end: the block behind the last one written."""
 
+    def end(command, tokens) -> int:
+        step = step_of([command, *tokens])
+        return int(step.target.max(initial=-1)) + 1 if step.writes() else 0
+
     def run(batches):
         for batch in batches:
             for label, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = parse(label, raw)
-                ends = [max((b for _, b in ranges([c, *t][TARGET[c]])), default=0) if c in TARGET else 0 for _, c, t in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([label] * len(rows)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array(ends, pa.int64())],
-                    names=["partition", "seq", "command", "tokens", "target_end"],
-                )
+                rows = [{"partition": label, "seq": seq, "command": c, "tokens": t, "target_end": end(c, t)} for seq, c, t in parse(label, raw)]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    schema = pa.schema([("partition", pa.string()), ("seq", pa.int32()), ("command", pa.string()), ("tokens", pa.list_(pa.string())), ("target_end", pa.int64())])
     return lists.select(F.col(name), F.col(text)).mapInArrow(run, "partition string, seq int, command string, tokens array<string>, target_end long")
 
 
-def source_spec(tokens: list[str]) -> tuple[Ranges, int, Ranges, Ranges, list[tuple[str, Ranges]]]:
-    """Target, blocks, ranges of the image, where they go in the buffer, and stashes with where they go."""
-    need(len(tokens) >= 3 and re.fullmatch(r"\d+", tokens[1]), "bad source")
-    target, blocks, rest = ranges(tokens[0]), int(tokens[1]), tokens[2:]
-    own: Ranges = ()
-    at: Ranges = ()
-    if rest[0] == "-":
-        rest = rest[1:]
-    else:
-        own = ranges(rest[0])
-        at = ranges(rest[1]) if len(rest) > 1 else ((0, size(own)),)
-        rest = rest[2:]
-        need(size(at) == size(own), "source places differ in size")
-    stashes = []
-    for token in rest:
-        label, colon, places = token.partition(":")
-        need(colon, "bad stash")
-        stashes.append((label, ranges(places)))
-    end = 0
-    for a, b in sorted([*at, *(p for _, places in stashes for p in places)]):
-        need(a == end, "source places overlap or leave gaps")
-        end = b
-    need(end == blocks, "source places don't fill the buffer")
-    return target, blocks, own, at, stashes
-
-
-class Machine:
-    """One partition's image, its stashes, and the streams that commands read."""
-
-    def __init__(self, image: bytes, new: bytes, patch: bytes, verify: bool = True):
-        self.image, self.new, self.patch, self.verify = bytearray(image), new, patch, verify
-        self.stashes: dict[str, bytes] = {}
-        self.used = 0
-
-    def read(self, at: Ranges) -> bytes:
-        parts = [self.image[a * BLOCK : b * BLOCK] for a, b in at]
-        need(all(len(p) == (b - a) * BLOCK for p, (a, b) in zip(parts, at, strict=True)), "read outside the image")
-        return b"".join(parts)
-
-    def write(self, at: Ranges, data: bytes) -> None:
-        need(len(data) == size(at) * BLOCK, "command makes another size")
-        done = 0
-        for a, b in at:
-            if len(self.image) < b * BLOCK:
-                self.image.extend(bytes(b * BLOCK - len(self.image)))
-            n = (b - a) * BLOCK
-            self.image[a * BLOCK : b * BLOCK] = data[done : done + n]
-            done += n
-
-    def source(self, blocks: int, own: Ranges, at: Ranges, stashes, digest: str) -> bytes:
-        buffer = bytearray(blocks * BLOCK)
-
-        def put(places: Ranges, data: bytes):
-            need(len(data) == size(places) * BLOCK, "stash has another size")
-            done = 0
-            for a, b in places:
-                buffer[a * BLOCK : b * BLOCK] = data[done : done + (b - a) * BLOCK]
-                done += (b - a) * BLOCK
-
-        put(at, self.read(own))
-        for label, places in stashes:
-            need(label in self.stashes, f"no stash {label}")
-            put(places, self.stashes[label])
-        need(not self.verify or hashlib.sha1(buffer).hexdigest() == digest.lower(), "source hash differs")
-        return bytes(buffer)
-
-    def run(self, command: str, t: list[str]) -> None:
-        if command == "new":
-            at = ranges(t[0])
-            n = size(at) * BLOCK
-            need(self.used + n <= len(self.new), "new data is cut short")
-            self.write(at, self.new[self.used : self.used + n])
-            self.used += n
-        elif command in ("zero", "erase"):
-            at = ranges(t[0])
-            self.write(at, bytes(size(at) * BLOCK))
-        elif command == "stash":
-            need(_DIGEST.fullmatch(t[0]), "bad stash hash")
-            if t[0] not in self.stashes:
-                data = self.read(ranges(t[1]))
-                need(not self.verify or hashlib.sha1(data).hexdigest() == t[0].lower(), "stash hash differs")
-                self.stashes[t[0]] = data
-        elif command == "free":
-            self.stashes.pop(t[0], None)
-        elif command == "move":
-            need(_DIGEST.fullmatch(t[0]), "bad hash")
-            target, *spec = source_spec(t[1:])
-            need(size(target) == spec[0], "move has two sizes")
-            self.write(target, self.source(*spec, t[0]))
-        elif command == "bsdiff":
-            need(_DIGEST.fullmatch(t[2]) and _DIGEST.fullmatch(t[3]), "bad hash")
-            off, n = int(t[0]), int(t[1])
-            need(off >= 0 and 0 < n and off + n <= len(self.patch), "patch data is cut short")
-            target, *spec = source_spec(t[4:])
-            out = apply_patch(self.source(*spec, t[2]), self.patch[off : off + n], size(target) * BLOCK)
-            need(not self.verify or hashlib.sha1(out).hexdigest() == t[3].lower(), "target hash differs")
-            self.write(target, out)
-        else:
-            raise FormatError(f"command {command} is not supported")
+class Store:
+    """One partition's blocks, its stashes, and the streams that steps read."""
+
+    def __init__(self, image: bytes, new: bytes, patch: bytes, blocks: int, verify: bool):
+        self.blocks = np.zeros((max(blocks, -(-len(image) // BLOCK)), BLOCK), np.uint8)
+        self.blocks.reshape(-1)[: len(image)] = np.frombuffer(image, np.uint8)
+        self.had = -(-len(image) // BLOCK)
+        self.new, self.patch, self.verify, self.used = memoryview(new), patch, verify, 0
+        self.stashes: dict[str, np.ndarray] = {}
+
+    def checked(self, data: bytes, digest: str, what: str) -> None:
+        need(not self.verify or hashlib.sha1(data).hexdigest() == digest, f"{what} hash differs")
+
+    def taken(self, at: np.ndarray) -> np.ndarray:
+        need(int(at.max(initial=-1)) < self.had, "read outside the image")
+        return self.blocks[at]
+
+    def put(self, at: np.ndarray, data) -> None:
+        self.blocks[at] = data
+        self.had = max(self.had, int(at.max(initial=-1)) + 1)
+
+    def source(self, step: Step, digest: str) -> np.ndarray:
+        buffer = np.empty((step.blocks, BLOCK), np.uint8)
+        for label, at, places in step.pieces:
+            need(label is None or label in self.stashes, f"no stash {label}")
+            data = self.taken(at) if label is None else self.stashes[label]
+            need(len(data) == len(places), f"stash {label} has another size")
+            buffer[places] = data
+        self.checked(buffer.tobytes(), digest, "source")
+        return buffer
+
+    def run(self, step: Step) -> None:
+        getattr(self, "do_" + step.command)(step)
+
+    def do_new(self, step: Step) -> None:
+        n = len(step.target) * BLOCK
+        need(self.used + n <= len(self.new), "new data is cut short")
+        self.put(step.target, np.frombuffer(self.new[self.used : self.used + n], np.uint8).reshape(-1, BLOCK))
+        self.used += n
+
+    def do_zero(self, step: Step) -> None:
+        self.put(step.target, 0)
+
+    do_erase = do_zero
+
+    def do_stash(self, step: Step) -> None:
+        (label,) = step.digests
+        if label not in self.stashes:
+            data = self.taken(step.target)
+            self.checked(data.tobytes(), label, "stash")
+            self.stashes[label] = data
+
+    def do_free(self, step: Step) -> None:
+        self.stashes.pop(step.digests[0], None)
+
+    def do_move(self, step: Step) -> None:
+        self.put(step.target, self.source(step, step.digests[0]))
+
+    def do_bsdiff(self, step: Step) -> None:
+        at, n = step.numbers
+        need(0 < n and at + n <= len(self.patch), "patch data is cut short")
+        before, after = step.digests
+        out = apply_patch(self.source(step, before).tobytes(), self.patch[at : at + n], len(step.target) * BLOCK)
+        self.checked(out, after, "target")
+        self.put(step.target, np.frombuffer(out, np.uint8).reshape(-1, BLOCK))
+
+    def do_imgdiff(self, step: Step) -> None:
+        raise FormatError("imgdiff is not supported")
 
 
 def run_all(rows: list[tuple[int, str, list[str]]], image: bytes, new: bytes, patch: bytes, expected: int | None = None, verify: bool = True) -> bytes:
-    machine = Machine(image, new, patch, verify)
-    for _, command, tokens in sorted(rows, key=lambda r: r[0]):
-        machine.run(command, list(tokens))
-    need(machine.used == len(new), "new data is left over")
-    end = max((b for _, c, t in rows if c in TARGET for _, b in ranges([c, *t][TARGET[c]])), default=0) * BLOCK
-    want = max(len(image), end) if expected is None else expected
-    need(want >= end, "commands write behind the image")
-    return bytes(machine.image[:want]).ljust(want, b"\0")
+    """The new image, of the expected size in bytes; without one, of the base's or up to the last block written."""
+    steps = [step_of([command, *tokens]) for _, command, tokens in sorted(rows, key=lambda r: r[0])]
+    need(not any(s.command == "imgdiff" for s in steps), "imgdiff is not supported")
+    end = max((int(s.target.max(initial=-1)) + 1 for s in steps if s.writes()), default=0)
+    need(expected is None or expected >= end * BLOCK, "commands write behind the image")
+    need(sum(len(s.target) for s in steps if s.command == "new") * BLOCK == len(new), "new data has another size than the commands take")
+    store = Store(image, new, patch, end, verify)
+    for step in steps:
+        store.run(step)
+    want = max(len(image), end * BLOCK) if expected is None else expected
+    return store.blocks.tobytes()[:want].ljust(want, b"\0")
 
 
 def apply(list_commands: DataFrame, data: DataFrame, *, verify: bool = True) -> DataFrame:
-    """(partition, content): the new images. data: (partition, image, new, patch), each null if there is none."""
-    both = list_commands.select("partition", "seq", "command", "tokens").join(data, "partition")
+    """(partition, content): the new images. data: (partition, image, new, patch), each null if there is none, and optionally
+    size: the image's declared size in bytes."""
+    parts = ["image", "new", "patch", *(["size"] if "size" in data.columns else [])]
+    both = list_commands.select("partition", "seq", "command", "tokens").join(data.select("partition", *parts), "partition")
 
     def run(table: pa.Table) -> pa.Table:
-        first = {c: table.column(c)[0].as_py() for c in ("partition", "image", "new", "patch")}
+        table = table.sort_by("seq")
+        first = {c: table.column(c)[0].as_py() for c in ("partition", *parts)}
         rows = list(zip(*(table.column(c).to_pylist() for c in ("seq", "command", "tokens")), strict=True))
-        out = run_all(rows, first["image"] or b"", first["new"] or b"", first["patch"] or b"", verify=verify)
+        out = run_all(rows, *(first[c] or b"" for c in parts[:3]), expected=first.get("size"), verify=verify)
         return pa.table({"partition": pa.array([first["partition"]]), "content": pa.array([out], pa.binary())})
 
-    slim = both.withColumns({c: F.when(F.col("seq") == 0, F.col(c)) for c in ("image", "new", "patch")})
-    return slim.groupBy("partition").applyInArrow(lambda t: run(t.sort_by("seq")), "partition string, content binary")
+    slim = both.withColumns({c: F.when(F.col("seq") == 0, F.col(c)) for c in parts})
+    return slim.groupBy("partition").applyInArrow(run, "partition string, content binary")
