@@ -61,18 +61,83 @@ SENTENCES = {
     "ccby4-notice": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."],
     "ccbysa4-notice": ["Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "unlicense-free": [
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ],
+    "mit-liability": [
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ],
+    "isc-as-is": [
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+    ],
+    "isc-liability": [
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ],
+    "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "bsd-as-is": [
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ],
+    "bsd-liability": [
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ],
+    "apache2-unless": [
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    ],
+    "apache2-see": ["See the License for the specific language governing permissions and limitations under the License."],
+    "gpl2-free": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ],
+    "gpl2-only": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."
+    ],
+    "lgpl21-free": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ],
+    "lgpl3-free": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "lgpl-hope": [
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    ],
+    "lgpl-details": ["See the GNU Lesser General Public License for more details."],
+    "agpl3-free": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ],
+    "agpl-details": ["See the GNU Affero General Public License for more details."],
+    "epl2-terms": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "cc0-deed": [
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."
+    ],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-liability": ["In no event will the authors be held liable for any damages arising from the use of this software."],
+    "zlib-grant": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+    ],
+    "boost-grant": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"
+    ],
+    "boost-notice": ["Distributed under the Boost Software License, Version 1.0."],
 }
 
 #: (licence, its identifiers in order); earlier rules win.
 RULES = (
+    ("MIT", ("mit-grant", "mit-keep", "as-is", "mit-liability")),
     ("MIT", ("mit-grant", "mit-keep", "as-is")),
-    ("ISC", ("isc-grant", "as-is")),
-    ("ISC", ("isc-grant",)),
     ("MIT", ("mit-grant", "mit-keep")),
     ("MIT", ("mit-grant",)),
     ("MIT", ("mit-notice",)),
+    ("ISC", ("isc-grant", "isc-as-is", "isc-liability")),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant", "isc-as-is", "isc-liability")),
+    ("0BSD", ("0bsd-grant", "isc-as-is")),
+    ("BSD-3-Clause", ("bsd-head", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is", "bsd-liability")),
     ("BSD-3-Clause", ("bsd-head", "bsd-source", "bsd-binary", "bsd-names")),
+    ("BSD-2-Clause", ("bsd-head", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability")),
     ("BSD-2-Clause", ("bsd-head", "bsd-source", "bsd-binary")),
+    ("Apache-2.0", ("apache2-you", "apache2-copy", "apache2-unless", "apache2-see")),
     ("Apache-2.0", ("apache2-you", "apache2-copy")),
     ("Apache-2.0", ("apache2-you",)),
     ("Apache-2.0", ("apache2-notice",)),
@@ -80,10 +145,26 @@ RULES = (
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
     ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-3.0-only", ("gpl3-notice",)),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-details")),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("GPL-2.0-only", ("gpl2-only", "gpl-hope", "gpl-details")),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free", "gpl-hope", "agpl-details")),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("MPL-2.0", ("mpl2-notice", "mpl2-copy")),
     ("MPL-2.0", ("mpl2-notice",)),
     ("CC-BY-NC-4.0", ("ccbync4-notice",)),
     ("CC-BY-SA-4.0", ("ccbysa4-notice",)),
     ("CC-BY-4.0", ("ccby4-notice",)),
+    ("CC0-1.0", ("cc0-deed",)),
+    ("Zlib", ("zlib-as-is", "zlib-liability", "zlib-grant")),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSL-1.0", ("boost-notice",)),
+    ("Unlicense", ("unlicense", "unlicense-free")),
     ("Unlicense", ("unlicense",)),
 )
 #: A sentence ends at these marks before white space (a colon: at the end of a line) and at an empty line; 2.0 stays whole.
@@ -122,14 +203,15 @@ def sentence_ids(text: Column, sentences=None) -> Column:
 def licences(ids: Column, rules=RULES) -> Column:
     """The licences whose rules match a sequence of identifiers (an array), each once, in the order of the rules."""
 
+    # identifiers are doubly spaced, so that neighbouring occurrences don't share a space
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(" " + "  ".join(parts) + " ").alias("ids")) for name, parts in rules])
+
+    def step(done: Column, rule: Column) -> Column:
+        hit = F.contains(done["seq"], rule["ids"])
+        return F.struct(F.replace(done["seq"], rule["ids"], F.lit(" ; ")).alias("seq"), F.when(hit, F.array_append(done["hits"], rule["name"])).otherwise(done["hits"]).alias("hits"))
+
     def match(seq: Column) -> Column:
-        hits = []
-        for name, parts in rules:
-            # identifiers are doubly spaced, so that neighbouring occurrences don't share a space
-            pattern = F.lit(" " + "  ".join(parts) + " ")
-            hits.append(F.when(F.contains(seq, pattern), F.lit(name)))
-            seq = F.replace(seq, pattern, F.lit(" ; "))
-        return F.array_distinct(F.array_compact(F.array(*hits)))
+        return F.aggregate(table, F.struct(seq.alias("seq"), F.array().cast("array<string>").alias("hits")), step, lambda done: F.array_distinct(done["hits"]))
 
     seq = F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" "))
     return F.when(F.size(ids) == 0, F.array().cast("array<string>")).otherwise(match(seq))
