@@ -14,6 +14,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,26 @@ _powers: dict[int, np.ndarray] = {}
 
 # ---------------------------------------------------------------- cuts
 
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scope():
+    """Lists what cut() and cut_bucketed() write within it, in this thread: drop(*made) removes it, once results that read
+    it are written."""
+    made: list[DataFrame] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+
+
+def _noted(df: DataFrame) -> DataFrame:
+    if (made := _made.get()) is not None:
+        made.append(df)
+    return df
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
@@ -53,7 +75,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out.cut_at = at
-    return out
+    return _noted(out)
 
 
 def cut_bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
@@ -64,7 +86,7 @@ def cut_bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     df.write.bucketBy(buckets, key).option("path", at).format("parquet").saveAsTable(table)
     out = spark.table(table)
     out.cut_at, out.cut_table = at, table
-    return out
+    return _noted(out)
 
 
 def drop(*cuts: DataFrame) -> None:

@@ -42,3 +42,17 @@ def test_spans_of_equal_contents_are_equal():
         assert (h[: len(at)] == h[len(at) :]).all()
         assert n == 0 or len(np.unique(h)) == len(at)
         assert (C.span_hash(both, at[:1], at[:1] + n) == h[:1]).all()
+
+
+def test_cuts_of_a_scope_can_be_dropped(spark):
+    import os
+
+    with C.scope() as made:
+        one = C.cut(spark.range(3).toDF("id"))
+        two = C.cut_bucketed(spark.range(3).toDF("id"), "id", 2, "scoped")
+    three = C.cut(spark.range(3).toDF("id"))
+    assert made == [one, two]
+    places = [x.cut_at.removeprefix("file://") for x in (one, two, three)]
+    C.drop(*made)
+    assert [os.path.exists(p) for p in places] == [False, False, True]
+    assert not spark.catalog.listTables(pattern="scoped*")
