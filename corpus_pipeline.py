@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, mixing, piece_codec, quality_rules, substring_dedup
-from tessera.llm.common import cut, load
+from tessera.llm.common import cut, drop, load, scope
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -71,9 +71,10 @@ ORACLE_SQL = None  # learned rules, hashes and merges have no SQL; tests compare
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what an earlier one wrote is removed once the documents that it kept are written."""
     docs = load(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, "pipeline")
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scope() as made:
+            before, docs = docs, cut(stage(spark, docs, sf_dir), "pipeline")
+        drop(before, *(x for x in made if x is not docs))
+    return STAGES[-1][1](spark, docs, sf_dir)
