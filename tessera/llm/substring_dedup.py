@@ -36,7 +36,8 @@ from .common import Block, answers_of, bits_of, blocks, by_shard, cut, flags_of,
 from .fm_index import FMIndex
 
 THRESHOLD = 20
-HOT = 32
+#: different segments of one minimizer that a shard takes whole: about 260,000 words, a twentieth of what a shard holds
+HOT = 8192
 _GRAM = 8
 
 
