@@ -48,7 +48,7 @@ def next_size(samples: DataFrame, keys: Sequence[str], order: Sequence[str], rat
     picked = F.floor(F.when(low * 2 < high, low).otherwise(mid))
     size = F.least(F.lit(16 * MIB), F.greatest(F.lit(MIB), F.ceil(picked / MIB) * MIB))
     first = F.row_number().over(w) == 1
-    return samples.withColumn("size", F.when(first, F.lit(4 * MIB)).otherwise(F.coalesce(size, F.lit(16 * MIB))).cast("long"))
+    return samples.withColumn("size", F.when(first, F.lit(4 * MIB)).otherwise(F.when(low.isNull(), F.lit(16 * MIB)).otherwise(size)).cast("long"))
 
 
 def limited(requests: DataFrame, keys: Sequence[str], order: Sequence[str], at: Column, cost: Column) -> DataFrame:

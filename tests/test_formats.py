@@ -177,6 +177,8 @@ def test_block_commands():
     assert transfers.run_all(transfers.parse("p", head + swap), image, b"", b"")[: 2 * B] == b + a
     mixed = f"stash {sha(c)} 2,2,3\nmove {sha(c + a)} 2,2,4 2 2,0,1 2,1,2 {sha(c)}:2,0,1\n"
     assert transfers.run_all(transfers.parse("p", head + mixed), image, b"", b"")[2 * B :] == c + a
+    assert transfers.run_all(transfers.parse("p", head + "zero 2,0,1"), image, b"", b"", expected=B) == bytes(B)
+    assert transfers.run_all(transfers.parse("p", head + "zero 2,0,1"), image, b"", b"", expected=5 * B) == bytes(B) + image[B:] + bytes(B)
     for bad in (f"move {sha(a)} 2,1,2 1 - {sha(a)}:2,0,1", f"move {sha(b)} 2,1,2 1 2,0,1", "imgdiff 0 1 x x 2,0,1 1 2,0,1", f"move {sha(a)} 2,1,3 1 2,0,1", f"move {sha(a)} 2,1,2 2 2,0,1", "new 2,0,1"):
         with pytest.raises(FormatError):
             transfers.run_all(transfers.parse("p", head + bad), image, b"", b"")

@@ -150,3 +150,58 @@ def test_streaming_speeds_and_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("wins").count() >= 0
+
+
+def test_eta_has_two_digits_and_unknown_totals(spark):
+    rows = [(10, 100, 1.0, False, "01:30"), (100, 100, 0.0, False, "00:00"), (0, 7200, 1.0, False, "02:00:00"), (5, 0, 3.0, False, "--:--"), (5, 0, 3.0, True, "00:00"), (5, 9, 0.0, False, "--:--"), (5, 9, 1.0, True, "--:--"), (0, 360000, 1.0, False, "100:00:00")]
+    df = spark.createDataFrame(rows, "done long, total long, speed double, complete boolean, want string")
+    got = df.select(text.eta(F.col("done"), F.col("total"), F.col("speed"), F.col("complete")).alias("eta"), "want").collect()
+    assert all(r.eta == r.want for r in got), got
+
+
+def test_rates_are_read_whole(spark):
+    rows = [("500", 500), (" 10 M\t", 10 << 20), ("1.5GiB", 3 << 29), ("2kb", 2048), ("1t", 1 << 40), ("0", None), ("1.", None), (".5K", None), ("1.2.3", None), ("5X", None), ("", None), ("-1", None), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want long")
+    assert all(r.got == r.want for r in df.select(text.parse_rate(F.col("t")).alias("got"), "want").collect())
+
+
+def test_selectors_of_archives_and_of_updates(spark):
+    names = spark.createDataFrame([(n,) for n in ("dir/a_x.img", "dir\\\\b.img".replace("\\\\", "\\"), "system", "system_ext", "Boot.img", "x[1].bin")], "name string")
+    fit = lambda f, s: {r.name for r in names.filter(f(F.col("name"), s)).collect()}
+    assert fit(selectors.matches, "dir/a") == {"dir/a_x.img"} == fit(selectors.matches, "A")
+    assert fit(selectors.matches, "dir/b.img") == {"dir\\b.img"} == fit(selectors.matches, "b.img")
+    assert fit(selectors.matches, "x[1].bin") == {"x[1].bin"}
+    assert fit(selectors.matches, "system") == {"system", "system_ext"}
+    assert fit(selectors.matches_target, "system") == {"system"}
+    assert fit(selectors.matches_target, "boot") == {"Boot.img"} and fit(selectors.matches_target, "sys*") == {"system", "system_ext"}
+    with pytest.raises(SelectionError):
+        selectors.require_all(names, "name", [" ", ","])
+
+
+def test_history_reads_xml_as_xml(spark):
+    xml = """<L><BINARY_INFO x="1"><BINARY_SW_VERSION a='b'><Data><![CDATA[V1]]></Data><Data>V2</Data></BINARY_SW_VERSION>
+    <!-- <BINARY_INFO> --><N>&quot;q&#39;</N><N> second </N></BINARY_INFO><BINARY_INFO><N/></BINARY_INFO></L>"""
+    rows = catalog.release_rows(spark.createDataFrame([(xml,), (None,), ("",)], "x string"), "x").collect()
+    assert [(r.version, r.fields["N"], r.position) for r in rows] == [("V1", ["\"q'", "second"], 0)]
+    with pytest.raises(Exception, match="well-formed"):
+        catalog.release_rows(spark.createDataFrame([(xml[:60],)], "x string"), "x").collect()
+
+
+def test_gaps_reach_from_zero_to_the_size(spark):
+    df = spark.createDataFrame([("a", 10, 20, 50), ("a", 30, 40, 50), ("b", 0, 5, 5)], "k string, s long, e long, n long")
+    assert sorted(tuple(r) for r in ranges.gaps(df, ["k"], "s", "e", size="n").collect()) == [("a", 0, 10), ("a", 20, 30), ("a", 40, 50)]
+
+
+def test_range_sizes(spark):
+    mib = 1 << 20
+    df = spark.createDataFrame([("a", i, r) for i, r in enumerate([None, 1048576.5, 1048576.5, 3e7])], "k string, i int, r double")
+    got = {r.i: r["size"] for r in rates.next_size(df, ["k"], ["i"], "r", 2).collect()}
+    assert got == {0: 4 * mib, 1: 16 * mib, 2: mib, 3: mib}
+
+
+def test_android_versions_and_archive_hints(spark):
+    df = spark.createDataFrame([("a (b (c) d)", "b (c"), ("() Android 9", ""), ("( ) 7", ""), ("Android (14)", "14"), ("12", "Android 12")], "t string, want string")
+    assert all(r.got == r.want for r in df.select(catalog.android_version(F.col("t")).alias("got"), "want").collect())
+    script = 'ui_print ( "[m] Source Binary QB Info\\nA.tar\\nb/c.tar\\n B.TAR.MD5 \\n.tar" );ui_print("source qb\\nC.tar");ui_print("source binary QB informs\\nD.tar")'
+    df = spark.createDataFrame([(script,)], "s string")
+    assert df.select(metadata.hints(F.create_map(F.lit("source-x-name"), F.lit(" Z.tar ")), F.col("s")).alias("h")).first().h == ["Z.tar", "A.tar", "B.TAR.MD5"]
