@@ -66,7 +66,7 @@ def tar_list(files: DataFrame) -> DataFrame:
 
 
 def zip_extract(files: DataFrame) -> DataFrame:
-    """(archive, name, content, ok): entries with their bytes; ok: they have the CRC that the archive says."""
+    """(archive, name, content, ok, method): entries with their bytes; ok: they have the CRC that the archive says."""
 
     def run(batches):
         for batch in batches:
@@ -79,12 +79,13 @@ def zip_extract(files: DataFrame) -> DataFrame:
                     if i.is_dir():
                         continue
                     need(not i.flag_bits & 1 and i.compress_type in (0, 8), f"{i.filename}: encrypted or unknown compression")
+                    need(raw[i.header_offset : i.header_offset + 4] == b"PK\3\4", f"{i.filename}: no local header")
                     start = i.header_offset + 30 + sum(int.from_bytes(raw[i.header_offset + k : i.header_offset + k + 2], "little") for k in (26, 28))
                     data = raw[start : start + i.compress_size]
                     data = zlib.decompress(data, -15) if i.compress_type == 8 else data
-                    yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([i.filename]), pa.array([data], pa.binary()), pa.array([zlib.crc32(data) == i.CRC])], names=["archive", "name", "content", "ok"])
+                    yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([i.filename]), pa.array([data], pa.binary()), pa.array([zlib.crc32(data) == i.CRC]), pa.array([i.compress_type], pa.int32())], names=["archive", "name", "content", "ok", "method"])
 
-    return files.select(F.col("path").cast("string"), "content").mapInArrow(run, "archive string, name string, content binary, ok boolean")
+    return files.select(F.col("path").cast("string"), "content").mapInArrow(run, "archive string, name string, content binary, ok boolean, method int")
 
 
 def tar_extract(files: DataFrame) -> DataFrame:

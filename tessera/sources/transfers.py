@@ -131,6 +131,27 @@ def commands(lists: DataFrame, name: str = "partition", text: str = "text") -> D
     return lists.select(F.col(name), F.col(text)).mapInArrow(run, "partition string, seq int, command string, tokens array<string>, target_end long")
 
 
+def unsound(steps: list[Step], new: int, patch: int) -> str | None:
+    """What would fail while the steps run, known beforehand: streams of other sizes, and stashes that aren't there or have
+    another size when they are read."""
+    if sum(len(s.target) for s in steps if s.command == "new") * BLOCK != new:
+        return "new data has another size than the commands take"
+    held: dict[str, int] = {}
+    for step in steps:
+        if step.command == "imgdiff":
+            return "imgdiff is not supported"
+        if step.command == "bsdiff" and not (step.numbers[1] and sum(step.numbers) <= patch):
+            return "patch data is cut short"
+        if step.command == "stash" and held.setdefault(step.digests[0], len(step.target)) != len(step.target):
+            return f"stash {step.digests[0]} has two sizes"
+        if step.command == "free":
+            held.pop(step.digests[0], None)
+        missing = [label for label, _, places in step.pieces if label is not None and held.get(label) != len(places)]
+        if missing:
+            return f"no stash {missing[0]} of that size"
+    return None
+
+
 class Store:
     """One partition's blocks, its stashes, and the streams that steps read."""
 
@@ -204,10 +225,10 @@ class Store:
 def run_all(rows: list[tuple[int, str, list[str]]], image: bytes, new: bytes, patch: bytes, expected: int | None = None, verify: bool = True) -> bytes:
     """The new image, of the expected size in bytes; without one, of the base's or up to the last block written."""
     steps = [step_of([command, *tokens]) for _, command, tokens in sorted(rows, key=lambda r: r[0])]
-    need(not any(s.command == "imgdiff" for s in steps), "imgdiff is not supported")
+    wrong = unsound(steps, len(new), len(patch))
+    need(wrong is None, wrong or "")
     end = max((int(s.target.max(initial=-1)) + 1 for s in steps if s.writes()), default=0)
     need(expected is None or expected >= end * BLOCK, "commands write behind the image")
-    need(sum(len(s.target) for s in steps if s.command == "new") * BLOCK == len(new), "new data has another size than the commands take")
     store = Store(image, new, patch, end, verify)
     for step in steps:
         store.run(step)
