@@ -6,9 +6,7 @@ spark.read for local or shared paths.
 
 from __future__ import annotations
 
-import glob
 import io
-import os
 import tarfile
 import zipfile
 import zlib
@@ -146,16 +144,20 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    """A task for each file, which reads by offset what its index needs, from any store."""
+
     def __init__(self, path: str, entries):
-        self.path, self.entries = path.removeprefix("file://"), entries
+        self.path, self.entries = path, entries
 
     def partitions(self):
-        found = sorted(glob.glob(self.path) or (glob.glob(os.path.join(self.path, "*")) if os.path.isdir(self.path) else []))
-        need(found, f"no file at {self.path}")
-        return [_File(p) for p in found]
+        from .ranged import listed
+
+        return [_File(p) for p, _ in listed(self.path)]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
+        from .ranged import opened
+
+        with opened(partition.path) as f:
             yield from self.entries(partition.path, f)
 
 

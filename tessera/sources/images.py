@@ -43,31 +43,37 @@ def need(condition: object, what: str) -> None:
 # ---------------------------------------------------------------- sparse
 
 
-def sparse_pieces(raw: bytes, *, empty_allowed: bool = True) -> Iterator[tuple[int, int, int, bytes]]:
-    """(offset, length, kind, data) of an image's pieces in output order; FILL data is its 4-byte pattern.
-
-    Structure is checked here; checksums are for expand(), which has the bytes.
-    """
-    need(len(raw) >= _SPARSE.size, "sparse header is cut short")
-    magic, major, _, head, piece, block, blocks, count, total = _SPARSE.unpack_from(raw)
+def sparse_headers(read, size: int, *, empty_allowed: bool = True) -> Iterator[tuple[int, int, int, int, int]]:
+    """(offset, length, kind, place, bytes) of an image's pieces in output order, with where their data is in the file of
+    `size` bytes; the last one, of kind 0, has the checksum of all. Only headers are read, by read(place, bytes)."""
+    head = read(0, _SPARSE.size)
+    need(len(head) == _SPARSE.size, "sparse header is cut short")
+    magic, major, _, at, piece, block, blocks, count, _ = _SPARSE.unpack(head)
     need(magic == SPARSE_MAGIC and major == 1, "not a sparse image of version 1")
-    need(head >= _SPARSE.size and piece >= _PIECE.size, "sparse header sizes are too small")
+    need(at >= _SPARSE.size and piece >= _PIECE.size, "sparse header sizes are too small")
     need(block > 0 and block % 4 == 0 and blocks > 0 and block * blocks <= LIMIT, "sparse geometry is out of range")
-    at, seen = head, 0
+    seen = 0
     for k in range(count):
-        need(at + piece <= len(raw), f"sparse piece {k} is cut short")
-        kind, _, n, size = _PIECE.unpack_from(raw, at)
-        data = raw[at + piece : at + size]
-        need(size >= piece and len(data) == size - piece, f"sparse piece {k} has a wrong size")
+        need(at + piece <= size, f"sparse piece {k} is cut short")
+        kind, _, n, whole = _PIECE.unpack(read(at, _PIECE.size))
         want = {RAW: n * block, FILL: 4, DONT_CARE: 0, CRC32: 4}.get(kind)
         need(want is not None, f"sparse piece {k} has an unknown kind")
-        need(len(data) == want and (kind != CRC32 or n == 0), f"sparse piece {k} has a wrong size")
+        need(whole == piece + want and at + whole <= size and (kind != CRC32 or n == 0), f"sparse piece {k} has a wrong size")
         need(seen + n <= blocks, f"sparse piece {k} ends behind the image")
         need(empty_allowed or kind == CRC32 or n, f"sparse piece {k} is empty")
-        yield seen * block, n * block, kind, data
-        seen, at = seen + n, at + size
+        yield seen * block, n * block, kind, at + piece, want
+        seen, at = seen + n, at + whole
     need(seen == blocks, "sparse image is incomplete")
-    yield seen * block, 0, 0, struct.pack("<I", total)
+    yield seen * block, 0, 0, _SPARSE.size - 4, 4
+
+
+def sparse_pieces(raw: bytes, *, empty_allowed: bool = True) -> Iterator[tuple[int, int, int, bytes]]:
+    """(offset, length, kind, data) of an image's pieces in output order; FILL data is its 4-byte pattern.
+
+    Structure is checked here; checksums are for expand(), which has the bytes.
+    """
+    for off, length, kind, at, n in sparse_headers(lambda at, n: raw[at : at + n], len(raw), empty_allowed=empty_allowed):
+        yield off, length, kind, raw[at : at + n]
 
 
 def expand(raw: bytes, step: int = CHUNK) -> Iterator[tuple[int, bytes]]:
