@@ -116,6 +116,19 @@ def latest(rows: DataFrame, keys: Sequence[str], value: str, order: Sequence[str
     return rows.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
+def chosen(rows: DataFrame, keys: Sequence[str], version: str, index: str, order: Sequence[str], wanted: str | None = None) -> DataFrame:
+    """Each key's last row in order of the wanted version, both normalised; without one, of those whose index isn't 90, or of
+    all if there is no other."""
+    if wanted is not None:
+        rows = rows.filter(normal_version(F.col(version)) == normal_version(F.lit(wanted)))
+        rank = F.lit(0)
+    else:
+        rank = (F.coalesce(F.trim(F.col(index).cast("string")), F.lit("")) != "90").cast("int")
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(rank.alias("\u0001r"), *order)).alias("\u0001b"))
+    return best.select(*keys, "\u0001b.*")
+
+
 def unique_match(rows: DataFrame, keys: Sequence[str], candidate: str, condition: Column) -> DataFrame:
     """Keys with exactly one distinct candidate among the rows that meet the condition, and that candidate."""
     found = rows.filter(condition).groupBy(*keys).agg(F.min(candidate).alias("low"), F.max(candidate).alias("high"))

@@ -61,6 +61,16 @@ def resolve(requests: DataFrame, entries: DataFrame, *, path: str = "path", root
     return requests.join(done, path, "left")
 
 
+def resolve_in(requests: DataFrame, entries: DataFrame, partition: str, *, path: str = "path", **how) -> DataFrame:
+    """resolve(), but a path that isn't there is sought below a directory named like its partition, as images hold it whose
+    partition is the system's root."""
+    forms = F.array(F.struct(F.lit(0).alias("rank"), F.col(path).alias("form")), F.struct(F.lit(1).alias("rank"), F.concat_ws("/", F.lit(""), F.col(partition), F.ltrim(path, F.lit("/"))).alias("form")))
+    both = requests.select(path, partition, F.explode(forms).alias("f")).select(path, partition, "f.rank", "f.form").distinct()
+    found = resolve(both, entries, path="form", **how).filter("node is not null")
+    best = found.groupBy(path, partition).agg(F.min_by("node", "rank").alias("node"))
+    return requests.join(best, [path, partition], "left")
+
+
 def flatten_extents(nodes: DataFrame, *, depth: int = 5) -> DataFrame:
     """(file, logical, blocks, physical) of extent trees. nodes: (file, node, child, logical, blocks, physical), child null
     at leaves; a file's tree starts at node 0. Levels are joins; more than `depth` of them is an error."""

@@ -15,20 +15,31 @@ from ..operators import catalog, integrity, metadata, selectors
 from ..sources import archives, payload
 
 METADATA, SCRIPT, PAYLOAD = "META-INF/com/android/metadata", "META-INF/com/google/android/updater-script", "payload.bin"
+PROPERTIES = "payload_properties.txt"
 
 
-def inspect(files: DataFrame, wanted: str = "auto") -> DataFrame:
-    """(path, kind, problem, props, hints, base_ap): what each archive is, says of itself, and needs."""
+def inspect(files: DataFrame, wanted: str = "auto", *, verify: bool = True) -> DataFrame:
+    """(path, kind, problem, props, hints, base_ap, base_csc): what each archive is, says of itself, and needs. A payload must be
+    stored, and as its properties say, its metadata's digest included unless told otherwise."""
     entries = archives.zip_extract(files)
-    text = lambda name: F.max(F.when(F.col("name") == name, F.col("content").cast("string")))
-    one = entries.groupBy(F.col("archive").alias("path")).agg(F.collect_list("name").alias("names"), text(METADATA).alias("meta"), text(SCRIPT).alias("script"))
-    props = metadata.properties(F.coalesce("meta", F.lit("")))
-    one = one.withColumn("props", props)
-    declared = F.try_element_at("props", F.lit("ota-type"))
-    problem = F.when(F.col("meta").isNull(), "no metadata").otherwise(metadata.problems(F.col("names"), F.coalesce(declared, F.lit("")), wanted))
-    ap = F.upper(F.nullif(F.regexp_extract(F.coalesce(F.try_element_at("props", F.lit("source-ap-name")), F.lit("")), r"(?i)^AP_([A-Z0-9]+)_", 1), F.lit("")))
-    ap = F.coalesce(ap, F.upper(F.try_element_at("props", F.lit("pre-build-incremental"))))
-    return one.select("path", metadata.detected(F.col("names")).alias("kind"), problem.alias("problem"), "props", metadata.hints(F.col("props"), F.col("script")).alias("hints"), ap.alias("base_ap"))
+    of = lambda name, value: F.max(F.when(F.col("name") == name, value))
+    text = lambda name: of(name, F.col("content").cast("string"))
+    # a payload's header of 24 bytes has its manifest's length in the eight from the 13th on
+    manifest = F.conv(F.hex(F.substring("content", 13, 8)), 16, 10).cast("long")
+    head = F.expr("substring(content, 1, cast(least(octet_length(content), 24 + manifest) as int))")
+    rows = entries.withColumn("manifest", manifest).withColumn("head", F.when(F.col("name") == PAYLOAD, head)).withColumn("size", F.octet_length("content"))
+    one = rows.groupBy(F.col("archive").alias("path")).agg(
+        F.collect_list("name").alias("names"), text(METADATA).alias("meta"), text(SCRIPT).alias("script"), text(PROPERTIES).alias("said"),
+        of(PAYLOAD, F.col("method")).alias("method"), of(PAYLOAD, F.col("size")).alias("size"), of(PAYLOAD, F.col("head")).alias("head"),
+    )
+    one = one.withColumns({"props": metadata.properties(F.coalesce("meta", F.lit(""))), "said": metadata.properties(F.coalesce("said", F.lit("")))})
+    prop = lambda key: F.coalesce(F.try_element_at("props", F.lit(key)), F.lit(""))
+    problem = F.when(F.col("meta").isNull(), "no metadata").otherwise(
+        F.coalesce(metadata.problems(F.col("names"), prop("ota-type"), wanted), metadata.payload_problem(F.col("method"), F.col("size"), F.col("head"), F.col("said"), verify=verify))
+    )
+    ap = F.coalesce(metadata.part_of(prop("source-ap-name"), "AP", 1), F.upper(F.try_element_at("props", F.lit("pre-build-incremental"))))
+    csc = metadata.base_csc(prop("source-csc-name"))
+    return one.select("path", metadata.detected(F.col("names")).alias("kind"), problem.alias("problem"), "props", metadata.hints(F.col("props"), F.col("script")).alias("hints"), ap.alias("base_ap"), csc.alias("base_csc"))
 
 
 def operations(files: DataFrame) -> DataFrame:
