@@ -13,7 +13,8 @@ these are all expanded. The graph, the beam and the results, which are ranked fr
 cosine of the original vectors in double precision, so that near copies are told apart.
 
 All rows are indexed; the sample is for entry points only. Vectors that are null, zero, of another length than most, or
-hold null or non-finite components take no part, nor do null ids. Rows alike in id and vector count once; an id with
+hold null or non-finite components take no part, nor do null ids. Components are read as floats: doubles are rounded, and
+those beyond a float's range take no part. Rows alike in id and vector count once; an id with
 several vectors is found, and asks, with each. A query's own id is no candidate. Extra columns are dropped; an empty
 table gives an empty table; with fewer candidates than asked for, all are returned.
 """
@@ -69,9 +70,10 @@ def nodes_of(some: DataFrame, ids: int) -> DataFrame:
                     own.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(have.keys(), pa.binary()), pa.array(have.values(), pa.list_(pa.int64()))], names=["vector", "ids"])
 
-    few = some.mapInArrow(distinct, "vector binary, ids array<long>").groupBy("vector")
-    few = few.agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, ids).alias("ids"))
-
+    few = some.mapInArrow(distinct, "vector binary, ids array<long>").select("vector", F.explode("ids").alias("id"))
+    # a rank with a bound is taken in each task before the shuffle too, so that one hot vector is few rows
+    few = few.withColumn("r", F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))).filter(F.col("r") <= ids)
+    few = few.groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     return few.select(F.col("ids")[0].alias("node"), "ids", "vector")
 
 
@@ -191,8 +193,9 @@ class Beam:
         return np.flatnonzero(~self.expanded)[:most]
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, top: int = 5, beam: int = BEAM, expand: int = EXPAND, entries: int | None = None, rounds: int = 40) -> DataFrame:
-    """(query, rank, id, score): the `top` nearest ids of each of queries (id, vector)."""
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, top: int = 5, beam: int = BEAM, expand: int = EXPAND, entries: int | None = None) -> DataFrame:
+    """(query, rank, id, score): the `top` nearest ids of each of queries (id, vector). Goes on until no query has a node left to
+    expand; that ends, as a node that has left a beam is no better than its last and never returns."""
     spark = nodes.sparkSession
     bins = shards_of(spark)
     entries = entries or max(ENTRIES, 4 * math.isqrt(nodes.count()))
@@ -262,7 +265,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, *, top: int =
         return pa.table({k: pa.array(v, pa.binary() if k in ("vector", "state") else pa.int64()) for k, v in out.items()})
 
     schema = "query long, id long, vector binary, state binary"
-    for _ in range(rounds):
+    while True:
         open_ = cut(state.select("query", "state").mapInArrow(frontier, "query long, node long"), "ann-frontier")
         if open_.isEmpty():
             drop(open_)
