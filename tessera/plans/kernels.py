@@ -158,10 +158,13 @@ def _zip(key: str, raw: bytes) -> dict:
 
 @query("SELECT doc_id, 'dir/text.txt' AS name, strlen(text)::BIGINT AS size, 8 AS method, sha256(text) AS sha256, true AS ok FROM documents UNION ALL SELECT doc_id, 'id', strlen(doc_id::VARCHAR), 0, sha256(doc_id::VARCHAR), true FROM documents")
 def zip_list(spark, sf_dir):
-    files = _packed(_texts(spark, sf_dir), _zip, "path string, content binary")
+    texts = _texts(spark, sf_dir)
+    files = _packed(texts, _zip, "path string, content binary")
     listed = archives.zip_list(files).select("archive", "name", "size", "method")
-    both = listed.join(archives.zip_extract(files), ["archive", "name"])
-    return both.select(F.col("archive").cast("long").alias("doc_id"), "name", "size", "method", F.sha2("content", 256).alias("sha256"), "ok")
+    digests = archives.zip_extract(files).select("archive", "name", F.sha2("content", 256).alias("sha256"), "ok")  # joined without the contents
+    both = listed.join(digests, ["archive", "name"]).join(_sizes(texts), F.col("archive") == F.col("key"))
+    known = (F.col("name") == "id") | F.col("n").isNotNull()  # a null text is packed as an empty entry
+    return both.select(F.col("archive").cast("long").alias("doc_id"), "name", F.when(known, F.col("size")).alias("size"), "method", F.when(known, F.col("sha256")).alias("sha256"), "ok")
 
 
 @query("SELECT doc_id, 'text' AS name, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM documents")

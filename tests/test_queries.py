@@ -41,3 +41,16 @@ def test_query(spark, db, name):
         names = [d[0] for d in want.description]
         assert sorted(names) == sorted(df.columns)
         assert rows(got, df.columns) == rows(want.fetchall(), names)
+
+
+def test_zip_list_of_odd_texts(spark, tmp_path):
+    """Null, empty and multi-byte texts, and one that is far longer when inflated."""
+    texts = [(0, None), (1, ""), (2, "a\x00\n"), (3, "\u00e9\u4e16\U0001f600"), (-4, "x" * 300_000), (2**62, "z")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["zip_list"](spark, str(tmp_path))
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = connection.execute(registry.SQL["zip_list"])
+    names = [d[0] for d in want.description]
+    assert got.columns == names and dict(got.dtypes) == {"doc_id": "bigint", "name": "string", "size": "bigint", "method": "int", "sha256": "string", "ok": "boolean"}
+    assert rows(got.collect(), names) == rows(want.fetchall(), names)
