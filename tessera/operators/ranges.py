@@ -44,8 +44,8 @@ def not_tiling(rows: DataFrame, keys: Sequence[str], start: str, end: str, total
     return both.filter("`\u0001gap` or `\u0001end` <> `\u0001total`").select(*keys)
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, key: Sequence[str], start: str, end: str, ids: tuple[str, str], width: int | float) -> DataFrame:
-    """Pairs (key, left id, right id) of intervals of one key that overlap, each once.
+def overlap_pairs(left: DataFrame, right: DataFrame, key: Sequence[str], start: str, end: str, ids: tuple[str, str], width: int | float, tasks: int | None = None) -> DataFrame:
+    """Pairs (key, left id, right id) of intervals of one key that overlap, each once; tasks: how many the join is dealt to.
 
     An interval goes into each bin of `width` that it meets, and a pair counts in the bin where its overlap begins: an
     equi-join on (key, bin), in place of a nested loop. left and right have the same column names but for the ids.
@@ -54,7 +54,8 @@ def overlap_pairs(left: DataFrame, right: DataFrame, key: Sequence[str], start:
     def binned(rows: DataFrame, side: str, own: str) -> DataFrame:
         first, last = F.floor(F.col(start) / width), F.ceil(F.col(end) / width) - 1
         rows = rows.filter(F.col(start) < F.col(end))
-        return rows.select(*key, F.col(own), F.col(start).alias(f"{side}s"), F.col(end).alias(f"{side}e"), F.explode(F.sequence(first, F.greatest(first, last))).alias("bin"))
+        rows = rows.select(*key, F.col(own), F.col(start).alias(f"{side}s"), F.col(end).alias(f"{side}e"), F.explode(F.sequence(first, F.greatest(first, last))).alias("bin"))
+        return rows if tasks is None else rows.repartition(tasks, *key, "bin")
 
     both = binned(left, "l", ids[0]).join(binned(right, "r", ids[1]), [*key, "bin"])
     both = both.filter((F.col("ls") < F.col("re")) & (F.col("rs") < F.col("le")))

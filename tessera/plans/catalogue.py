@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import batches
 from ..functions import text
 from ..operators import catalog, metadata, ranges, schedule
 from .registry import query, table
@@ -155,7 +156,7 @@ def _operations(spark, sf_dir):
     from pyspark.sql import Window
 
     op = F.row_number().over(Window.partitionBy("k").orderBy("n", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long") - 1
-    ops = lines.withColumn("op", op).select("k", "op", F.col("l_partkey").alias("p"))
+    ops = batches.dealt(lines, ["k"]).withColumn("op", op).select("k", "op", F.col("l_partkey").alias("p"))
     targets = ops.select("k", "op", (F.col("op") * 2).alias("s"), (F.col("op") * 2 + 2).alias("e"))
     sources = ops.select("k", "op", (F.col("p") % 9).alias("s"), (F.col("p") % 9 + 1 + F.col("p") % 3).alias("e"))
     return ops, sources, targets
@@ -177,11 +178,8 @@ def operation_order(spark, sf_dir):
     cost = ops.select("k", "op", (1 + F.col("p") % 3).alias("cost"))
     order = schedule.order(cost, edges, "k")
     # each reader runs, or has saved its source, before its writers run
-    ready = order.groupBy("k", F.col("op").alias("reader")).agg(F.min("position").alias("at"))
-    ran = order.filter("not save").select("k", F.col("op").alias("writer"), F.col("position").alias("then"))
-    bad = edges.join(ready, ["k", "reader"]).join(ran, ["k", "writer"]).groupBy("k").agg(F.max(F.col("at") > F.col("then")).alias("bad"))
-    runs = order.groupBy("k").agg(F.count_if(~F.col("save")).alias("runs"))
-    return runs.join(bad, "k", "left").select("k", "runs", (~F.coalesce("bad", F.lit(False))).alias("ordered"))
+    late = F.coalesce(F.max(F.col("position") >= F.col("until")), F.lit(False))
+    return order.groupBy("k").agg(F.count_if(~F.col("save")).alias("runs"), (~late).alias("ordered"))
 
 
 @query("""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import FormatError, SelectionError, exit_code
 from tessera.functions import text
+from tessera import batches
 from tessera.operators import catalog, hierarchy, metadata, ranges, rates, schedule, selectors
 from tessera.sources import sinks
 from tessera.streaming import progress
@@ -205,3 +206,34 @@ def test_android_versions_and_archive_hints(spark):
     script = 'ui_print ( "[m] Source Binary QB Info\\nA.tar\\nb/c.tar\\n B.TAR.MD5 \\n.tar" );ui_print("source qb\\nC.tar");ui_print("source binary QB informs\\nD.tar")'
     df = spark.createDataFrame([(script,)], "s string")
     assert df.select(metadata.hints(F.create_map(F.lit("source-x-name"), F.lit(" Z.tar ")), F.col("s")).alias("h")).first().h == ["Z.tar", "A.tar", "B.TAR.MD5"]
+
+
+def test_order_of_many_keys_is_each_keys_own(spark):
+    """Keys are ordered together, across batches; until is where the first writer of what an operation reads runs."""
+    cost, edges = [], []
+    for k in range(300):
+        cost += [(k, 10 * i, (k + i) % 3) for i in range(1 + k % 5)]
+        edges += [(k, 10 * i, 10 * ((i + 1) % (1 + k % 5))) for i in range(1 + k % 5) if k % 5]  # a circle
+    cost, edges = spark.createDataFrame(cost, "k long, op long, cost long"), spark.createDataFrame(edges, "k long, reader long, writer long")
+    found = schedule.order(cost, edges, "k")
+    assert found.columns == ["k", "position", "op", "save", "until"]
+    by: dict = {}
+    for r in found.orderBy("k", "position").collect():
+        by.setdefault(r.k, []).append((r.position, r.op, r.save, r.until))
+    assert sorted(by) == list(range(300)) and by[0] == [(0, 0, False, None)]
+    # costs 1, 2, 0: the third saves what the first overwrites, and runs after the second has read
+    assert by[7] == [(0, 20, True, 1), (1, 0, False, 2), (2, 10, False, 3), (3, 20, False, None)]
+    for own in by.values():
+        assert [p for p, *_ in own] == list(range(len(own)))
+        assert all(until is None or p < until for p, _, _, until in own)
+        assert [s for _, _, s, _ in own].count(True) == (len(own) > 1)
+
+
+def test_conflicts_are_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batches, "SHARE", 100)
+    spark.range(50).selectExpr("1L as k", "id as op", "id * 2 as s", "id * 2 + 3 as e").coalesce(1).write.parquet(f"{tmp_path}/x")
+    rows = spark.read.parquet(f"{tmp_path}/x")
+    assert batches.tasks(rows) > 4
+    found = schedule.conflicts(rows, rows, ["k"], 4)
+    assert sorted((r.reader, r.writer) for r in found.collect()) == sorted((a, b) for a in range(50) for b in (a - 1, a + 1) if 0 <= b < 50)
+    assert batches.tasks(spark.createDataFrame([(1,)], "a int")) == 4  # unknown sizes don't count
