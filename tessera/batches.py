@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: How many rows become Python values at once; bytes and rows of a batch that goes out; bytes of input files for a task.
-STEP, BYTES, ROWS, SHARE = 16, 4 << 20, 8192, 16 << 20
+STEP, BYTES, ROWS, SHARE = 16, 4 << 20, 8192, 8 << 20
 
 Kernel = Callable[[Iterator[tuple]], Iterable[tuple]]
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import batches
 from ..errors import FormatError
 from ..operators import integrity, selectors
 from ..sources import archives, patches, transfers
@@ -167,14 +167,11 @@ def patched(entries: DataFrame, base: DataFrame, wanted: DataFrame | None = None
         wrong = wrong.when(F.sha1("old") != F.col("old_sha1"), "hash differs of the base image of ")
     rows = rows.withColumn("old", sure(F.col("old"), wrong.isNotNull(), wrong, F.col("partition")).cast("binary"))
 
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                new = patches.apply_patch(r["old"], r["patch"] or b"", r["size"])
-                row = [r["archive"], r["partition"], r["output"], r["sha1"], new]
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row[:4]] + [pa.array([new], pa.binary())], names=["archive", "partition", "output", "sha1", "content"])
+    def run(found):
+        for archive, partition, output, sha1, size, old, patch in found:
+            yield archive, partition, output, sha1, patches.apply_patch(old, patch or b"", size)
 
-    made = rows.select("archive", "partition", "output", "sha1", "size", "old", "patch").mapInArrow(run, "archive string, partition string, output string, sha1 string, content binary")
+    made = batches.mapped(rows.select("archive", "partition", "output", "sha1", "size", "old", "patch"), run, "archive string, partition string, output string, sha1 string, content binary")
     if verify:
         made = made.withColumn("content", sure(F.col("content"), F.sha1("content") != F.col("sha1"), "target hash differs: ", F.col("output")).cast("binary"))
     return made.drop("sha1")

@@ -12,9 +12,11 @@ import zipfile
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import batches
 from ..operators import hierarchy
 from ..sources import archives, ext4, images, patches, payload, transfers
 from .registry import query, table
@@ -25,15 +27,13 @@ BLOCK = 4096
 def _packed(rows: DataFrame, make: Callable[[str, bytes], dict[str, bytes | str | None]], schema: str) -> DataFrame:
     """rows (key string, text) turned into files by a kernel; schema names its columns after path."""
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"string": pa.string(), "binary": pa.binary()}
 
-    def run(batches):
-        for batch in batches:
-            made = [make(k, (t or "").encode()) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            cols = [pa.array([m[n] for m in made], kinds[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+    def run(rows):
+        for key, text in rows:
+            made = make(key, (text or "").encode())
+            yield tuple(made[n] for n in names)
 
-    return rows.mapInArrow(run, schema)
+    return batches.mapped(rows, run, schema)
 
 
 def _texts(spark, sf_dir, name: str = "documents", key: str = "doc_id") -> DataFrame:
@@ -64,19 +64,23 @@ def sparse_expand(spark, sf_dir):
 
 @query("SELECT doc_id, 'system_a' AS partition, sha256(text) AS sha256 FROM documents UNION ALL SELECT doc_id, 'vendor_a', sha256(reverse(lang) || source) FROM documents")
 def lp_extract(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.concat("text", F.lit("\x00"), F.reverse("lang"), "source").alias("text"))
+    known = lambda c: F.coalesce(c, F.lit(""))  # noqa: E731  a null makes its own partition empty, not both
+    rest = F.concat(known(F.col("text")), F.lit("\x00"), known(F.reverse("lang")), known(F.col("source")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), rest.alias("text"))
 
     def make(key, raw):
         text, _, rest = raw.rpartition(b"\0")
         return {"path": key, "content": images.make_super({"system_a": text, "empty": b"", "vendor_a": rest})}
 
     files = _packed(docs, make, "path string, content binary")
-    chunks = images.chunk_table(files).cache()
-    sizes = images.lp_sizes(images.lp_extents(chunks)).filter("size > 0")
-    whole = images.assembled(images.extract_partitions(chunks, ["system_a", "vendor_a"]), ["image", "partition"], sizes)
+    chunks = images.chunk_table(files)
     lengths = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("image"), F.explode(F.create_map(F.lit("system_a"), F.octet_length("text"), F.lit("vendor_a"), F.octet_length(F.concat("lang", "source")))).alias("partition", "n"))
-    found = lengths.join(whole, ["image", "partition"], "left").withColumn("content", F.coalesce("content", F.lit(b"")))
-    return found.select(F.col("image").cast("long").alias("doc_id"), "partition", _cut("content").alias("sha256"))
+    sizes = images.lp_sizes(images.lp_extents(chunks)).filter("size > 0").join(lengths, ["image", "partition"])
+    whole = images.assembled(images.extract_partitions(chunks, ["system_a", "vendor_a"]), ["image", "partition"], sizes)
+    digests = whole.select("image", "partition", _cut("content").alias("sha256"))  # joined without the contents
+    found = lengths.join(digests, ["image", "partition"], "left")
+    empty = F.when(F.col("n") == 0, F.sha2(F.lit(b""), 256))  # a partition of no bytes has no extents
+    return found.select(F.col("image").cast("long").alias("doc_id"), "partition", F.coalesce("sha256", empty).alias("sha256"))
 
 
 @query("SELECT doc_id, sha256(text) AS copied, sha256(text) AS replaced FROM documents")

@@ -6,10 +6,10 @@ Archives are rows (path, content) of ZIP files, as spark.read.format("binaryFile
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import batches
 from ..errors import FormatError
 from ..operators import catalog, integrity, metadata, selectors
 from ..sources import archives, payload
@@ -85,20 +85,22 @@ def plan(files: DataFrame, names: list[str] | None = None, done: DataFrame | Non
 def merge(ops: DataFrame, old: DataFrame, *, verify: bool = True) -> DataFrame:
     """(payload, partition, content, sha256): the new images, put together and, unless told otherwise, checked."""
     blocks = payload.apply(ops, old, verify=verify)
-    sizes = ops.select("payload", "partition", "block_size", "new_size", "new_sha256").distinct()
-    rows = sizes.join(blocks, ["payload", "partition"], "left")
-
-    def run(table: pa.Table) -> pa.Table:
-        first = {c: table.column(c)[0].as_py() for c in ("payload", "partition", "block_size", "new_size")}
-        out = bytearray(first["new_size"])
-        for k, data in zip(table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True):
-            if k is not None:
-                part = data[: max(0, len(out) - k * first["block_size"])]
-                out[k * first["block_size"] : k * first["block_size"] + len(part)] = part
-        return pa.table({"payload": pa.array([first["payload"]]), "partition": pa.array([first["partition"]]), "content": pa.array([bytes(out)], pa.binary())})
-
-    whole = rows.groupBy("payload", "partition").applyInArrow(run, "payload string, partition string, content binary")
-    whole = whole.withColumn("sha256", F.sha2("content", 256)).join(sizes.select("payload", "partition", F.lower(F.hex("new_sha256")).alias("want")), ["payload", "partition"])
+    # a partition's sizes, then its blocks
+    named = ["block_size", "new_size", "new_sha256"]
+    heads = ops.select("payload", "partition", F.lit(-1).cast("long").alias("block"), F.lit(None).cast("binary").alias("data"), *named).distinct()
+    both = heads.unionByName(blocks.select("payload", "partition", "block", "data", *[F.lit(None).cast(ops.schema[c].dataType).alias(c) for c in named]))
+
+    def run(key, rows):
+        _, _, _, _, size, total, want = next(rows)
+        out = bytearray(total)
+        for _, _, k, data, *_ in rows:
+            if k >= 0:
+                part = data[: max(0, total - k * size)]
+                out[k * size : k * size + len(part)] = part
+        yield *key, bytes(out), want
+
+    whole = batches.grouped(both, ["payload", "partition"], ["block"], run, "payload string, partition string, content binary, want binary")
+    whole = whole.withColumn("sha256", F.sha2("content", 256)).withColumn("want", F.lower(F.hex("want")))
     if verify:
         checked = F.when((F.col("want") != "") & (F.col("want") != F.col("sha256")), F.raise_error(F.concat(F.lit("image hash differs: "), "partition"))).otherwise(F.col("sha256"))
         whole = whole.withColumn("sha256", checked.cast("string"))

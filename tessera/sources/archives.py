@@ -11,11 +11,11 @@ import tarfile
 import zipfile
 import zlib
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .. import batches
 from ..errors import FormatError
 from ..functions import crypto
 from .images import SPARSE_MAGIC, need, sparse_pieces
@@ -43,16 +43,11 @@ def tar_entries(label: str, raw) -> list[tuple]:
 
 
 def _listed(files: DataFrame, entries, schema: str) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[x.split()[1]] for x in schema.split(", ")]
+    def run(rows):
+        for label, raw in rows:
+            yield from entries(label, io.BytesIO(raw or b""))
 
-    def run(batches):
-        for batch in batches:
-            for label, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = entries(label, io.BytesIO(raw or b""))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
-
-    return files.select(F.col("path").cast("string"), "content").mapInArrow(run, schema)
+    return batches.mapped(files.select(F.col("path").cast("string"), "content"), run, schema)
 
 
 def zip_list(files: DataFrame) -> DataFrame:
@@ -66,24 +61,23 @@ def tar_list(files: DataFrame) -> DataFrame:
 def zip_extract(files: DataFrame) -> DataFrame:
     """(archive, name, content, ok, method): entries with their bytes; ok: they have the CRC that the archive says."""
 
-    def run(batches):
-        for batch in batches:
-            for label, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    z = zipfile.ZipFile(io.BytesIO(raw or b""))
-                except zipfile.BadZipFile as e:
-                    raise FormatError(f"{label}: {e}") from e
-                for i in z.infolist():
-                    if i.is_dir():
-                        continue
-                    need(not i.flag_bits & 1 and i.compress_type in (0, 8), f"{i.filename}: encrypted or unknown compression")
-                    need(raw[i.header_offset : i.header_offset + 4] == b"PK\3\4", f"{i.filename}: no local header")
-                    start = i.header_offset + 30 + sum(int.from_bytes(raw[i.header_offset + k : i.header_offset + k + 2], "little") for k in (26, 28))
-                    data = raw[start : start + i.compress_size]
-                    data = zlib.decompress(data, -15) if i.compress_type == 8 else data
-                    yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([i.filename]), pa.array([data], pa.binary()), pa.array([zlib.crc32(data) == i.CRC]), pa.array([i.compress_type], pa.int32())], names=["archive", "name", "content", "ok", "method"])
-
-    return files.select(F.col("path").cast("string"), "content").mapInArrow(run, "archive string, name string, content binary, ok boolean, method int")
+    def run(rows):
+        for label, raw in rows:
+            try:
+                z = zipfile.ZipFile(io.BytesIO(raw or b""))
+            except zipfile.BadZipFile as e:
+                raise FormatError(f"{label}: {e}") from e
+            for i in z.infolist():
+                if i.is_dir():
+                    continue
+                need(not i.flag_bits & 1 and i.compress_type in (0, 8), f"{i.filename}: encrypted or unknown compression")
+                need(raw[i.header_offset : i.header_offset + 4] == b"PK\3\4", f"{i.filename}: no local header")
+                start = i.header_offset + 30 + sum(int.from_bytes(raw[i.header_offset + k : i.header_offset + k + 2], "little") for k in (26, 28))
+                data = raw[start : start + i.compress_size]
+                data = zlib.decompress(data, -15) if i.compress_type == 8 else data
+                yield label, i.filename, data, zlib.crc32(data) == i.CRC, i.compress_type
+
+    return batches.mapped(files.select(F.col("path").cast("string"), "content"), run, "archive string, name string, content binary, ok boolean, method int")
 
 
 def tar_extract(files: DataFrame) -> DataFrame:
@@ -123,17 +117,16 @@ def verify(files: DataFrame) -> DataFrame:
             return "encrypted", None, None
         return "binary", None, None
 
-    def run(batches):
-        for batch in batches:
-            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    form, entries, error = look(path, raw or b"")
-                except (FormatError, zipfile.BadZipFile, zlib.error, EOFError) as e:
-                    form, entries, error = "damaged", None, str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([form]), pa.array([entries], pa.int64()), pa.array([error is None]), pa.array([error], pa.string())], names=["path", "format", "entries", "valid", "error"])
+    def run(rows):
+        for path, raw in rows:
+            try:
+                form, entries, error = look(path, raw or b"")
+            except (FormatError, zipfile.BadZipFile, zlib.error, EOFError) as e:
+                form, entries, error = "damaged", None, str(e)
+            yield path, form, entries, error is None, error
 
     slim = files.select(F.col("path").cast("string"), "content")
-    found = slim.mapInArrow(run, "path string, format string, entries long, valid boolean, error string")
+    found = batches.mapped(slim, run, "path string, format string, entries long, valid boolean, error string")
     return found.join(slim.select("path", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")), "path")
 
 
