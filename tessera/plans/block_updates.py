@@ -88,12 +88,17 @@ def direct_files(entries: DataFrame) -> DataFrame:
     return found.select("archive", F.col("name").alias("output"), "content", F.octet_length("content").cast("long").alias("size"))
 
 
+def _key() -> Column:
+    """One key for archive and partition that can be a partition's name."""
+    return F.concat(F.sha1(F.col("archive").cast("binary")), F.lit("-"), F.col("partition"))
+
+
 def _steps(entries: DataFrame) -> DataFrame:
     """The lists' commands, with one key for archive and partition that can be a partition's name."""
     found = lists(entries)
-    label = sure(F.concat(F.sha1(F.col("archive").cast("binary")), F.lit("-"), F.col("partition")), F.col("partition") == "", "a transfer list has no name")
-    keyed = found.withColumn("key", label.cast("string"))
-    return transfers.commands(keyed, "key").withColumnRenamed("partition", "key").join(keyed.select("key", "archive", "partition"), "key")
+    label = sure(_key(), F.col("partition") == "", "a transfer list has no name")
+    keyed = found.select(label.cast("string").alias("key"), "text", "archive", F.col("partition").alias("label"))
+    return transfers.commands(keyed, "key", keep=("archive", "label")).withColumnRenamed("partition", "key").withColumnRenamed("label", "partition")
 
 
 def _sizes(entries: DataFrame, steps: DataFrame) -> DataFrame:
@@ -184,18 +189,20 @@ def replayed(entries: DataFrame, base: DataFrame, wanted: DataFrame | None = Non
     steps = _steps(entries)
     if wanted is not None:
         steps = steps.withColumn("output", F.concat("partition", F.lit(".img"))).join(wanted, ["archive", "output"], "left_semi").drop("output")
-    packed = entries.filter(F.col("name").endswith(PATCHED) & (F.col("method") != 0)).select("name").limit(1).collect()
-    if packed:
-        raise FormatError(f"patch data must be stored: {packed[0][0]}")
-    streams = entries.select("archive", F.col("name"), "content")
-    data = _sizes(entries, steps)
+    packed = entries.filter(F.col("name").endswith(PATCHED) & (F.col("method") != 0)).agg(F.min("name")).first()[0]  # in one job
+    if packed is not None:
+        raise FormatError(f"patch data must be stored: {packed}")
+    # each part of a partition's data is a row of its own: sizes, base image, new data, patch data
+    sized = _sizes(entries, steps).select("archive", "partition", "key", "size")
+    parts = {"image": sized.join(base.select("partition", F.col("content").alias("image")), "partition", "left")}
     for column, suffix in (("new", NEW), ("patch", PATCHED)):
-        own = streams.filter(F.col("name").endswith(suffix)).select("archive", F.expr(f"left(name, length(name) - {len(suffix)})").alias("partition"), F.col("content").alias(column))
-        data = data.join(own, ["archive", "partition"], "left")
-    data = data.join(base.select("partition", F.col("content").alias("image")), "partition", "left")
-    made = transfers.apply(steps.drop("partition").withColumnRenamed("key", "partition"), data.select(F.col("key").alias("partition"), "image", "new", "patch", "size"), verify=verify)
-    names = data.select("key", "archive", F.col("partition").alias("label"))
-    return made.join(names, made["partition"] == names["key"]).select("archive", F.col("label").alias("partition"), F.concat("label", F.lit(".img")).alias("output"), "content")
+        own = entries.filter(F.col("name").endswith(suffix)).select("archive", F.expr(f"left(name, length(name) - {len(suffix)})").alias("partition"), F.col("content").alias(column))
+        if wanted is not None:
+            own = own.withColumn("output", F.concat("partition", F.lit(".img"))).join(wanted, ["archive", "output"], "left_semi").drop("output")
+        parts[column] = own.withColumn("key", _key())
+    data = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts.values())
+    made = transfers.apply(steps.drop("partition").withColumnRenamed("key", "partition"), data.select(F.col("key").alias("partition"), "image", "new", "patch", "size", "archive", F.col("partition").alias("label")), verify=verify)
+    return made.select("archive", F.col("label").alias("partition"), F.concat("label", F.lit(".img")).alias("output"), "content")
 
 
 def merge(files: DataFrame, base: DataFrame, names: list[str] | None = None, file_names: list[str] | None = None, *, done: DataFrame | None = None, verify: bool = True) -> DataFrame:

@@ -64,3 +64,10 @@ def test_lp_extract(spark, odd):
 def test_erofs_files(spark, odd):
     """Images are walked once."""
     assert "InMemoryRelation" in check(spark, odd, "erofs_files")
+
+
+def test_block_merge(spark, odd):
+    """Archives are packed and unpacked once, and contents are dealt with their commands, without joins before."""
+    plan = check(spark, odd, "block_merge")
+    assert "InMemoryRelation" in plan
+    assert plan.count("Join") <= 6
