@@ -71,3 +71,7 @@ def test_block_merge(spark, odd):
     plan = check(spark, odd, "block_merge")
     assert "InMemoryRelation" in plan
     assert plan.count("Join") <= 6
+
+
+def test_zip_list(spark, odd):
+    check(spark, odd, "zip_list")
