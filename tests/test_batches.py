@@ -75,3 +75,7 @@ def test_block_merge(spark, odd):
 
 def test_zip_list(spark, odd):
     check(spark, odd, "zip_list")
+
+
+def test_bsdiff_apply(spark, odd):
+    check(spark, odd, "bsdiff_apply", kernels=1)
