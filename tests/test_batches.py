@@ -84,3 +84,7 @@ def test_bsdiff_apply(spark, odd):
 def test_update_merge(spark, odd):
     """Operations are read out once; images are put together in one call for many."""
     assert "InMemoryRelation" in check(spark, odd, "update_merge")
+
+
+def test_payload_check(spark, odd):
+    check(spark, odd, "payload_check")
