@@ -95,17 +95,21 @@ def payload_apply(spark, sf_dir):
         ops = [(4, b"", [(i, 1) for i in reversed(range(n))], [(0, n)]), ((0, 1, 8)[int(key) % 3], coder(old), [], [(n, n)]), (6, b"", [], [(2 * n, 2)])]
         return {"payload": key, "content": payload.make([{"name": "p" + key, "old": old, "new": turned + old + bytes(2 * BLOCK), "ops": ops}])}
 
-    ops = payload.manifest(_packed(texts, make, "payload string, content binary")).cache()  # read by both sides of the gathering join
+    # read by both sides of the gathering join, so that texts are coded once
+    ops = payload.manifest(_packed(texts, make, "payload string, content binary")).persist(StorageLevel.DISK_ONLY)
     size = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / BLOCK)).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(F.col("text").cast("binary"), i * BLOCK + 1, F.lit(BLOCK)))
     old = texts.select(F.concat(F.lit("p"), "key").alias("partition"), F.posexplode(blocks).alias("block", "data"))
     new = payload.apply(ops, old)
-    count = _sizes(texts).select(F.col("key").alias("payload"), "n", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).alias("b"))
-    new = new.join(count, "payload")
-    place = F.when(F.col("block") < F.col("b"), F.struct(F.lit(0).alias("side"), (F.col("b") - 1 - F.col("block")).alias("at"))).otherwise(F.struct(F.lit(1).alias("side"), F.col("block").alias("at")))
-    new = new.filter(F.col("block") < 2 * F.col("b")).select("payload", "n", place.alias("p"), F.hex("data").alias("data"))
-    join = lambda side: F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("p.side") == side, F.struct("p.at", "data")))), lambda x: x["data"]), ""))
-    new = new.groupBy("payload", "n").agg(join(0).alias("a"), join(1).alias("b"))
+    images_ = _sizes(texts).select(F.col("key").alias("payload"), ((2 * F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)) + 2) * BLOCK).alias("size"), "n")
+    whole = images.assembled(new.select("payload", (F.col("block") * BLOCK).alias("off"), "data"), ["payload"], images_)
+
+    def halves(rows):
+        for key, content, n in rows:
+            half = (len(content) // BLOCK - 2) // 2 * BLOCK
+            yield key, b"".join(content[at : at + BLOCK] for at in range(half - BLOCK, -1, -BLOCK)), content[half : 2 * half], n
+
+    new = batches.mapped(whole, halves, "payload string, a binary, b binary, n int")
     return new.select(F.col("payload").cast("long").alias("doc_id"), _cut("a").alias("copied"), _cut("b").alias("replaced"))
 
 

@@ -93,3 +93,7 @@ def test_payload_check(spark, odd):
 def test_partition_patch(spark, odd):
     """Archives are packed and unpacked once."""
     assert "InMemoryRelation" in check(spark, odd, "partition_patch")
+
+
+def test_payload_apply(spark, odd):
+    check(spark, odd, "payload_apply")
