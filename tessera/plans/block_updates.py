@@ -149,14 +149,15 @@ def guarded(wanted: DataFrame, existing: DataFrame, completed: DataFrame, *, for
 def copied(entries: DataFrame, existing: DataFrame | None = None, *, keys: tuple[str, ...] | list[str] = ("output",)) -> DataFrame:
     """(archive, output, content, sha256, reused): direct files. An existing file (keys, size, crc32) of the same size and
     CRC is not copied again: reused, without content."""
-    rows = direct_files(entries).withColumn("crc32", F.crc32("content"))
+    # digests before the join, which then moves contents only where they are read
+    rows = direct_files(entries).withColumns({"crc32": F.crc32("content"), "sha256": F.sha2("content", 256)})
     if existing is not None:
         known = existing.select(*keys, "size", "crc32", F.lit(True).alias("reused")).distinct()
         rows = rows.join(known, [*keys, "size", "crc32"], "left")
     else:
         rows = rows.withColumn("reused", F.lit(None).cast("boolean"))
     left = F.when(F.col("reused").isNull(), F.col("content"))
-    return rows.select("archive", "output", left.alias("content"), F.sha2("content", 256).alias("sha256"), F.coalesce("reused", F.lit(False)).alias("reused"))
+    return rows.select("archive", "output", left.alias("content"), "sha256", F.coalesce("reused", F.lit(False)).alias("reused"))
 
 
 def patched(entries: DataFrame, base: DataFrame, wanted: DataFrame | None = None, *, verify: bool = True) -> DataFrame:

@@ -97,3 +97,7 @@ def test_partition_patch(spark, odd):
 
 def test_payload_apply(spark, odd):
     check(spark, odd, "payload_apply")
+
+
+def test_direct_files(spark, odd):
+    check(spark, odd, "direct_files", kernels=2)
