@@ -81,9 +81,14 @@ def zip_extract(files: DataFrame) -> DataFrame:
 
 
 def tar_extract(files: DataFrame) -> DataFrame:
-    """(archive, name, content): regular files with their bytes, cut out by substring()."""
-    rows = tar_list(files).join(files.select(F.col("path").cast("string").alias("archive"), F.col("content").alias("raw")), "archive")
-    return rows.select("archive", "name", F.expr("substring(raw, cast(offset_data + 1 as int), cast(size as int))").alias("content"))
+    """(archive, name, content): regular files with their bytes."""
+
+    def run(rows):
+        for label, raw in rows:
+            for _, name, size, at in tar_entries(label, io.BytesIO(raw or b"")):
+                yield label, name, (raw or b"")[at : at + size]
+
+    return batches.mapped(files.select(F.col("path").cast("string"), "content"), run, "archive string, name string, content binary")
 
 
 def package_ranges(packages: DataFrame, size: int = 1 << 20) -> DataFrame:

@@ -101,3 +101,8 @@ def test_payload_apply(spark, odd):
 
 def test_direct_files(spark, odd):
     check(spark, odd, "direct_files", kernels=2)
+
+
+def test_tar_list(spark, odd):
+    """Entries are cut out where they are found: archives are packed once and not joined."""
+    assert "Join" not in check(spark, odd, "tar_list", kernels=2)
