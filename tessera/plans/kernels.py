@@ -138,9 +138,11 @@ def block_apply(spark, sf_dir):
         return {"partition": "p" + key, "text": "\n".join(lines), "new": data, "patch": patch}
 
     files = _packed(texts, make, "partition string, text string, new binary, patch binary")
-    data = files.select("partition", F.lit(None).cast("binary").alias("image"), "new", "patch")
-    out = transfers.apply(transfers.commands(files), data).withColumn("key", F.substring("partition", 2, 99)).join(_sizes(texts), "key")
-    return out.select(F.col("key").cast("long").alias("doc_id"), _cut("content").alias("sha256"))
+    data = files.select("partition", F.lit(None).cast("binary").alias("image"), "new", "patch", F.lit(None).cast("int").alias("n"))
+    # lengths come as one more row of each partition's data, and stay with the images
+    lengths = _sizes(texts).select(F.concat(F.lit("p"), "key").alias("partition"), "n")
+    out = transfers.apply(transfers.commands(files), data.unionByName(lengths, allowMissingColumns=True))
+    return out.select(F.substring("partition", 2, 99).cast("long").alias("doc_id"), _cut("content").alias("sha256"))
 
 
 @query("SELECT doc_id, sha256(text || ' patched') AS sha256 FROM documents")

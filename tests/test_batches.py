@@ -106,3 +106,8 @@ def test_direct_files(spark, odd):
 def test_tar_list(spark, odd):
     """Entries are cut out where they are found: archives are packed once and not joined."""
     assert "Join" not in check(spark, odd, "tar_list", kernels=2)
+
+
+def test_block_apply(spark, odd):
+    """Contents are not joined."""
+    assert "Join" not in check(spark, odd, "block_apply")
