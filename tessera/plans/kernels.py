@@ -57,8 +57,8 @@ def sparse_expand(spark, sf_dir):
     texts = _texts(spark, sf_dir)
     make = lambda key, raw: {"path": key, "content": images.make_sparse(_blocks(raw) + bytes(3 * BLOCK) + b"\x01\x02\x03\x04" * BLOCK)}
     chunks = images.chunk_table(_packed(texts, make, "path string, content binary"))
-    size = _sizes(texts).select(F.col("key").alias("image"), (F.ceil(F.greatest(F.lit(1), "n") / BLOCK) * BLOCK + 7 * BLOCK).cast("long").alias("size"))
-    whole = images.assembled(chunks, ["image"], size).join(_sizes(texts), F.col("image") == F.col("key"))
+    size = _sizes(texts).select(F.col("key").alias("image"), (F.ceil(F.greatest(F.lit(1), "n") / BLOCK) * BLOCK + 7 * BLOCK).cast("long").alias("size"), "n")
+    whole = images.assembled(chunks, ["image"], size)
     return whole.select(F.col("image").cast("long").alias("doc_id"), _cut("content").alias("sha256"))
 
 

@@ -111,3 +111,8 @@ def test_tar_list(spark, odd):
 def test_block_apply(spark, odd):
     """Contents are not joined."""
     assert "Join" not in check(spark, odd, "block_apply")
+
+
+def test_sparse_expand(spark, odd):
+    """Contents are not joined."""
+    assert "Join" not in check(spark, odd, "sparse_expand")
