@@ -116,3 +116,7 @@ def test_block_apply(spark, odd):
 def test_sparse_expand(spark, odd):
     """Contents are not joined."""
     assert "Join" not in check(spark, odd, "sparse_expand")
+
+
+def test_fs_sniff(spark, odd):
+    check(spark, odd, "fs_sniff", kernels=1)
