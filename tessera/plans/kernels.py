@@ -48,6 +48,12 @@ def _sizes(texts: DataFrame) -> DataFrame:
     return texts.select("key", F.octet_length("text").alias("n"))
 
 
+def _nulls(texts: DataFrame, **columns) -> DataFrame:
+    """Rows of null texts, which make no files; None is a null text."""
+    null = F.lit(None).cast("string")
+    return texts.filter("text is null").select(*[(F.col(c) if isinstance(c, str) else null if c is None else c).alias(n) for n, c in columns.items()])
+
+
 def _cut(content: str) -> object:
     return F.sha2(F.expr(f"substring({content}, 1, n)"), 256)
 
@@ -153,8 +159,9 @@ def bsdiff_apply(spark, sf_dir):
         patch = patches.make_patch(raw, raw + b" patched", kinds[int(key) % 4])
         return {"path": key, "content": patches.apply_patch(raw, patch)}
 
-    out = _packed(_texts(spark, sf_dir), make, "path string, content binary")
-    return out.select(F.col("path").cast("long").alias("doc_id"), F.sha2("content", 256).alias("sha256"))
+    texts = _texts(spark, sf_dir)
+    out = _packed(texts.filter("text is not null"), make, "path string, content binary").select("path", F.sha2("content", 256).alias("sha256"))
+    return out.unionByName(_nulls(texts, path="key", sha256=None)).select(F.col("path").cast("long").alias("doc_id"), "sha256")
 
 
 def _zip(key: str, raw: bytes) -> dict:
@@ -189,9 +196,11 @@ def tar_list(spark, sf_dir):
             t.addfile(info, io.BytesIO(raw))
         return {"path": key, "content": out.getvalue()}
 
-    files = _packed(_texts(spark, sf_dir), make, "path string, content binary")
-    out = archives.tar_extract(files).filter("name = 'text'")
-    return out.select(F.col("archive").cast("long").alias("doc_id"), "name", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+    texts = _texts(spark, sf_dir)
+    out = archives.tar_extract(_packed(texts.filter("text is not null"), make, "path string, content binary")).filter("name = 'text'")
+    out = out.select("archive", "name", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+    out = out.unionByName(_nulls(texts, archive="key", name=F.lit("text"), size=F.lit(None).cast("long"), sha256=None))
+    return out.select(F.col("archive").cast("long").alias("doc_id"), "name", "size", "sha256")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
